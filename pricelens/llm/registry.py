@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import license_scan, secret_scan
+from . import license_scan, minhash_dedup, secret_scan
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
         "op7_secret_scan": secret_scan.query,
+        "op9_minhash_dedup": minhash_dedup.query,
     }
 
 
