@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import license_scan, minhash_dedup, packing, secret_scan, token_files
+from . import decontaminate, language_id, license_scan, minhash_dedup, packing, secret_scan, token_files
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
         "op3_best_fit_packing": packing.query,
+        "op5_language_id": language_id.query,
         "op6_token_files": token_files.query,
         "op7_secret_scan": secret_scan.query,
+        "op8_decontaminate": decontaminate.query,
         "op9_minhash_dedup": minhash_dedup.query,
     }
 

@@ -102,8 +102,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
-    """The column in chunks of about `size` bytes, each row whole."""
+#: The bytes of words that are runs of ASCII letters and digits and of characters beyond ASCII.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def chunks(column: pa.Array, size: int = CHUNK, word: np.ndarray = ~_WS) -> Iterator[Chunk]:
+    """The column in chunks of about `size` bytes, each row whole. word: the bytes that words are made of."""
     data, offsets = flat(column)
     first, n = 0, len(column)
     while first < n:
@@ -111,7 +116,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
         last = min(last, n)
         part, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         inner = bounds[1:-1]
-        solid = ~_WS[part]
+        solid = word[part]
         begin, end = solid.copy(), solid.copy()
         if len(part):
             cut = np.zeros(len(part) + 1, dtype=bool)
