@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, minhash_dedup, packing, secret_scan, token_files
+from . import decontaminate, language_id, license_scan, minhash_dedup, packing, secret_scan, substring_dedup, token_files
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.query,
+        "op2_substring_dedup": substring_dedup.query,
         "op3_best_fit_packing": packing.query,
         "op5_language_id": language_id.query,
         "op6_token_files": token_files.query,
