@@ -26,7 +26,7 @@ from .common import table
 from .dom import INLINE, Leaf, walk
 from .packing import slices
 
-TRAIN_PAGES, PENALTY, ROUNDS = 400, 0.02, 150
+TRAIN_PAGES, PENALTY, ROUNDS = 800, 0.005, 300
 BYTES = 4 << 20
 
 
