@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import calibration
+from ..operators import calibration, pipeline, traders
 
-MODULES = (calibration,)
+MODULES = (calibration, pipeline, traders)
 
 
 def queries() -> dict:
