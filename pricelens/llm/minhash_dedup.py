@@ -6,9 +6,11 @@
 2. In every bucket all members are held against the bucket's smallest document. Pairs whose collision-corrected estimate
    (equal B-bit fields, by xor and bit counts) is too low go; the rest are confirmed on full sets. The links found give
    components.
-3. Buckets that still hold several components are joined with themselves: only pairs from different components, with an
-   estimate that is high enough, come out and are confirmed. No link between different texts is lost by step 2, as a
-   pair within one component can't change the components.
+3. In buckets that still hold several components all pairs from different components are estimated in blocks; a spanning
+   forest of those that are likely, at most a row for each member, gives clusters. In clusters of several components all
+   full sets are intersected, in blocks, and a spanning forest of the links comes out. So pairs are compared where that
+   is needed, but not emitted, and a large bucket or cluster is dealt to many tasks. No link between different texts is
+   lost by step 2, as a pair within one component can't change the components.
 
 With R = 5, K = 160 a pair at similarity 0.8 shares no bucket with probability (1 - 0.8^5)^32 = 3e-6; the estimate lies
 more than 5.5 standard deviations below 0.8 where it is refused.
@@ -35,6 +37,8 @@ K, R, B = 160, 5, 4
 PERCENT = 80
 #: Lowest estimate that is still confirmed on full sets.
 LEAST_ESTIMATE = 0.62
+#: Rows of a block of a bucket (signatures) and of a cluster (texts); a task holds two blocks at a time.
+BUCKET_ROWS, CLUSTER_ROWS = 1024, 256
 
 _A = np.array([odd(1000 + k) & 0xFFFFFFFF for k in range(K)], dtype=np.uint32)
 _X = np.array([odd(5000 + k) >> 32 for k in range(K)], dtype=np.uint32)
@@ -163,6 +167,124 @@ def confirmed(pairs: DataFrame, df: DataFrame, shingle: int, percent: int) -> Da
     return both.mapInArrow(run, "a long, b long")
 
 
+def _split(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """rows with i and j: pairs of blocks of a key's rows, so that any two rows of a key meet in some (key, i, j). A key
+    of up to `most` rows is one block; others are dealt by a hash into blocks of about so many."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
+    own = rows.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    pair = own.withColumn("other", other)
+    return pair.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n")
+
+
+class _Forest:
+    """Union-find over the rows of a block; rows of one component count as joined."""
+
+    def __init__(self, component: np.ndarray):
+        _, self.root = np.unique(component, return_inverse=True)
+        self.parent = list(range(int(self.root.max()) + 1))
+
+    def find(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def spanning(self, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+        """Those of the pairs of rows that join something, at most as many as there are components."""
+        out = []
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = self.find(int(self.root[a])), self.find(int(self.root[b]))
+            if p != q:
+                self.parent[p] = q
+                out.append((a, b))
+        return out
+
+
+def _likely(sig: np.ndarray, component: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Spanning pairs of rows whose packed signatures (uint64) estimate `least` or more."""
+    ones = U64(sum(1 << (B * k) for k in range(64 // B)))
+    chance = 2.0**-B
+    apart = int(K * (1 - least * (1 - chance) - chance))
+    forest, out = _Forest(component), []
+    step = max(1, (1 << 21) // max(1, len(sig)))
+    for lo in range(0, len(sig), step):
+        differing = np.zeros((len(sig[lo : lo + step]), len(sig)), dtype=np.int64)
+        for k in range(sig.shape[1]):
+            d = sig[lo : lo + step, None, k] ^ sig[None, :, k]
+            any_bit = d
+            for shift in range(1, B):
+                any_bit = any_bit | (d >> U64(shift))
+            differing += np.bitwise_count(any_bit & ones)
+        x, y = np.nonzero(differing <= apart)
+        new = (x + lo < y) & (component[x + lo] != component[y])
+        out += forest.spanning(x[new] + lo, y[new])
+    return out
+
+
+def _linked(sets: list[np.ndarray], component: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning pairs of rows whose sets have 100 * intersection >= percent * union, exactly. Intersections add up over
+    shingles: of many rows by a matrix product, of few rows pair by pair."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    many = np.flatnonzero(df >= 16)
+    place = np.full(len(df), -1)
+    place[many] = np.arange(len(many))
+    for lo in range(0, len(many), 4096):
+        own = (place[column] >= lo) & (place[column] < lo + 4096)
+        dense = np.zeros((len(sets), min(4096, len(many) - lo)), dtype=np.float32)
+        dense[row[own], place[column[own]] - lo] = 1
+        shared += dense @ dense.T
+    few = (df[column] > 1) & (df[column] < 16)
+    order = np.argsort(column[few], kind="stable")
+    r, c = row[few][order], column[few][order]
+    for gap in range(1, 15):
+        same = c[gap:] == c[:-gap]
+        if not same.any():
+            break
+        np.add.at(shared, (r[:-gap][same], r[gap:][same]), 1)
+        np.add.at(shared, (r[gap:][same], r[:-gap][same]), 1)
+    union = sizes[:, None] + sizes[None, :] - shared.astype(np.int64)
+    x, y = np.nonzero(100 * shared.astype(np.int64) >= percent * union)
+    new = (x < y) & (component[x] != component[y])
+    return _Forest(component).spanning(x[new], y[new])
+
+
+def _by_block(rows: DataFrame, key: str, columns: list[str], settle) -> DataFrame:
+    """(a, b) that settle(list of columns) finds among the rows of each (key, i, j)."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids = t.column("doc_id").to_numpy()
+            found = settle(t) if len(t) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(ids[x], ids[y]) for x, y in found], pa.int64()), pa.array([max(ids[x], ids[y]) for x, y in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in (key, "i", "j")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y == x:
+                    continue
+                this = tuple(keys[:, x].tolist())
+                if this != last and held:
+                    yield done()
+                    held = []
+                last = this
+                held.append(b.slice(x, y - x))
+        if held:
+            yield done()
+
+    dealt = rows.select(key, "i", "j", "doc_id", "component", *columns).repartition(n, key, "i", "j").sortWithinPartitions(key, "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def groups(spark: SparkSession, df: DataFrame, shingle: int = 5, percent: int = PERCENT, least: float = LEAST_ESTIMATE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of (doc_id, text)."""
     sets = written(spark, signatures(df, shingle), "sets")
@@ -170,29 +292,45 @@ def groups(spark: SparkSession, df: DataFrame, shingle: int = 5, percent: int =
     classes = written(spark, full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     members = sets.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id"])
-    buckets = written(spark, reps.select("doc_id", "sig", F.explode("bands").alias("bucket")), "buckets")
-    rep_texts = df.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sigs = reps.select("doc_id", "sig")
 
+    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     first = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    star = buckets.join(first, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.col("sig").alias("sb")).dropDuplicates(["a", "b"])
-    sigs = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
-    likely = written(spark, star.join(sigs, "a").filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "pairs")
-    links = written(spark, confirmed(likely, rep_texts, shingle, percent), "links")
+    shared = written(spark, buckets.join(first, "bucket"), "buckets")
+    star = shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    both = star.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb"}), "b")
+    likely = written(spark, both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "pairs")
+    links = written(spark, confirmed(likely, texts, shingle, percent), "links")
     found = components(spark, links)
 
-    open_ = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ = written(spark, open_, "open")
+    open_ = shared.select("bucket", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    part = open_.join(mixed, "bucket", "left_semi")
-    x, y = part.alias("x"), part.alias("y")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & (estimate(F.col("x.sig"), F.col("y.sig")) >= least)
-    more = x.join(y, apart).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    more = written(spark, more.join(likely, ["a", "b"], "left_anti"), "pairs")
-    links2 = written(spark, confirmed(more, rep_texts, shingle, percent).union(links), "links")
+    part = written(spark, _split(open_.join(mixed, "bucket", "left_semi"), "bucket", BUCKET_ROWS), "open").join(sigs, "doc_id")
+    width = K * B // 64
+    alike = written(spark, _by_block(part, "bucket", ["sig"], lambda t: _likely(_matrix(t.column("sig"), width), t.column("component").to_numpy(), least)), "alike")
+
+    near = components(spark, alike.union(links)).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    near = near.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = near.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("cluster")
+    dealt = written(spark, _split(near.join(several, "cluster", "left_semi"), "cluster", CLUSTER_ROWS), "clusters").join(texts, "doc_id")
+
+    def settle(t: pa.Table) -> list[tuple[int, int]]:
+        own: list[np.ndarray] = []
+        for c in chunks(t.column("text").combine_chunks()):
+            v, bounds = shingle_sets(c, shingle)
+            own += [v[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        return _linked(own, t.column("component").to_numpy(), percent)
+
+    links2 = written(spark, _by_block(dealt, "cluster", ["text"], settle).union(links), "links")
     done = components(spark, links2)
     out = members.join(done.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n_shingles").cast("long"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().view(U64).reshape(-1, width)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark, documents(spark, sf_dir), shingle=2)

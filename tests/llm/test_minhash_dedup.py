@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from pricelens.llm import minhash_dedup as M
 
 
@@ -65,5 +67,31 @@ def test_big_group_of_copies(spark):
     assert run(spark, rows, 2) == brute(rows, 2)
 
 
+def test_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(M, "CLUSTER_ROWS", 3)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(900)}" for _ in range(60)]
+    rows = [(k, " ".join(rng.choice("abcdefgh") + str(rng.randrange(99)) if rng.random() < rng.choice((0.03, 0.1)) else w for w in base)) for k in range(60)]
+    assert run(spark, rows, 2) == brute(rows, 2)
+
+
+def test_linked_like_brute_force():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(70)]
+    sets += [s[: max(1, len(s) - 2)] for s in sets[:30]]
+    component = np.arange(len(sets))
+    forest = M._Forest(component)
+    true = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    for a, b in true:
+        forest.parent[forest.find(a)] = forest.find(b)
+    got = M._Forest(component)
+    for a, b in M._linked(sets, component, 80):
+        assert (max(a, b), min(a, b)) in true
+        got.parent[got.find(a)] = got.find(b)
+    pairs = lambda f: {(a, b) for a in range(len(sets)) for b in range(a) if f.find(a) == f.find(b)}
+    assert pairs(got) == pairs(forest)
+
+
 def test_empty_table(spark):
     assert run(spark, [], 2) == {}
