@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import calibration, pipeline, traders
+from ..operators import calibration, learning, pipeline, traders
 
-MODULES = (calibration, pipeline, traders)
+MODULES = (calibration, pipeline, traders, learning)
 
 
 def queries() -> dict:
