@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import calibration, learning, pipeline, traders
+from ..operators import calibration, learning, pipeline, text, traders, vectors
 
-MODULES = (calibration, pipeline, traders, learning)
+MODULES = (calibration, pipeline, traders, learning, text, vectors)
 
 
 def queries() -> dict:
