@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -45,14 +45,15 @@ U64 = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """size: words of a window; gram: words of a minimizer's runs; cells: of each row of the sketch, and per_block of a
-    block, powers of two; ranges: hash ranges in which windows are grouped, a power of two; chunk: bytes of text."""
+    block, powers of two; ranges: hash ranges in which windows are grouped, a power of two (0: as many as shuffle
+    partitions or a little more, so that a range grows no more than a partition does); chunk: bytes of text."""
 
     size: int = 20
     gram: int = 8
     cells: int = 1 << 27
     per_block: int = 1 << 20
-    ranges: int = 256
-    chunk: int = 4 * CHUNK
+    ranges: int = 0
+    chunk: int = CHUNK
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -315,6 +316,7 @@ def _digests(rows: DataFrame, size: int) -> DataFrame:
 def dedup(spark: SparkSession, df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row of (doc_id, text)."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = replace(s, ranges=s.ranges or max(64, 1 << (n - 1).bit_length()))
     maps = spark.sparkContext.broadcast(_repeated(spark, df, s))
     later = written(spark, _later(_leads(df, s, maps), n), "later")
     state = _settled(df, s, maps)
