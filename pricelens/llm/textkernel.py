@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 U64 = np.uint64
 
@@ -53,7 +53,7 @@ class _Powers:
 
     def upto(self, n: int) -> np.ndarray:
         if len(self.values) < n:
-            size = max(n, 2 * len(self.values), 1 << 16)
+            size = -(-n // (1 << 18)) * (1 << 18)
             step = np.full(size, U64(self.base))
             step[0] = 1
             self.values = np.multiply.accumulate(step)
