@@ -142,6 +142,57 @@ def joint_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, beta double, se double")
 
 
+def mutual_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of queries rescaled by both ends' similarity to fixed reference rows: the product of two normal
+    probabilities of standardised similarities. Rows only."""
+    import math
+
+    v, q = _vectors(spark, sf_dir)
+    ref = np.array([r["vector"] for r in v.orderBy(F.xxhash64("id")).limit(256).collect()], dtype=np.float64)  # a sample of fixed size
+    ref /= np.maximum(np.linalg.norm(ref, axis=1, keepdims=True), 1e-12)
+    shared = spark.sparkContext.broadcast(ref)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(b), -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                s = x @ shared.value.T
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.mean(axis=1)), pa.array(np.maximum(s.std(axis=1, ddof=1), 1e-3))], names=["id", "mu", "sd"])
+
+    scale = v.mapInArrow(run, "id long, mu double, sd double")
+    n = backward_neighbours(spark, v, q)
+    j = n.join(scale.withColumnsRenamed({"id": "q", "mu": "mq", "sd": "sq"}), "q").join(scale, "id")
+
+    def phi(z):
+        """Normal probability by a rational approximation (error under 1e-7), as a column expression."""
+        t = 1 / (1 + 0.2316419 * F.abs(z))
+        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+        tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+        return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+    mp = phi((F.col("sim") - F.col("mq")) / F.col("sq")) * phi((F.col("sim") - F.col("mu")) / F.col("sd"))
+    return j.groupBy("q").agg(F.count("*").alias("neighbours"), r6(F.avg(mp)).alias("mean_mp"), r6(F.max(mp)).alias("max_mp"))
+
+
+def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected components of the neighbour links that are near: smallest row reached, and size. Labels spread and jump
+    until they stand still; each round is a reliable checkpoint."""
+    from ..sources.io import reliable
+
+    v, q = _vectors(spark, sf_dir)
+    near = backward_neighbours(spark, v, q).filter(F.col("sim") >= TAU).select(F.col("q").alias("a"), F.col("id").alias("b"))
+    both = reliable(spark, near.union(near.select("b", "a")).distinct())
+    labels = reliable(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    while True:
+        heard = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("label").alias("heard"))
+        after = reliable(spark, labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
+        labels = after.select("node", "label")
+        if not after.filter("old <> label").limit(1).count():
+            break
+    return labels.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("size"))
+
+
 QUERIES = {
     "knn_novelty": (
         knn_novelty,
@@ -153,6 +204,13 @@ QUERIES = {
         """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT id, list_transform(range(1, 33), lambda i: CASE WHEN id % 7 = 0 THEN e[i] ELSE 0.6::DOUBLE * e[i] + 0.4::DOUBLE * e[i + 32] END) AS u FROM v)
 SELECT id, round(u[1] / sqrt(list_dot_product(u, u)), 5) AS first, round(sqrt(list_dot_product(u, u)), 5) AS norm FROM u""",
     ),
+    "linked_groups": (
+        linked_groups,
+        f"""WITH RECURSIVE {_SIMS_SQL}, e AS (SELECT q AS a, id AS b FROM k WHERE sim >= {TAU} UNION SELECT id, q FROM k WHERE sim >= {TAU}),
+r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other), c AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)
+SELECT component, count(*) AS size FROM c GROUP BY component""",
+    ),
+    "mutual_proximity": (mutual_proximity, None),
     "kmeans_clusters": (clusters, None),
     "pca_scores": (principal_scores, None),
     "joint_model": (joint_model, None),

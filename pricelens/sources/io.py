@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,18 @@ def describe(df: DataFrame) -> DataFrame:
     return out.select(F.explode(F.array(*out.columns)).alias("c")).select("c.*")
 
 
+def reliable(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the cluster names in spark.checkpoint.dir; in local runs without one, in a
+    folder of our own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pricelens-"))
+    return df.checkpoint()
+
+
 class BlockRange(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last
