@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import audits, calibration, learning, pipeline, text, traders, vectors
+from ..operators import audits, calibration, decode, learning, pipeline, text, traders, vectors
 
-MODULES = (calibration, pipeline, traders, learning, text, vectors, audits)
+MODULES = (calibration, pipeline, traders, learning, text, vectors, audits, decode)
 
 
 def queries() -> dict:
