@@ -334,3 +334,14 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark, documents(spark, sf_dir), shingle=2)
+
+
+def sql() -> str:
+    """The query's rows in DuckDB, by intersecting the sets of all pairs that share a shingle."""
+    return r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM t),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other), c AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON node = doc_id"""

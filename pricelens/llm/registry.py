@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.sql()}
+    return {
+        "op1_license_scan": license_scan.sql(),
+        "op2_substring_dedup": substring_dedup.sql(),
+        "op7_secret_scan": secret_scan.sql(),
+        "op9_minhash_dedup": minhash_dedup.sql(),
+    }

@@ -131,3 +131,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
     base = spans_string(F.filter("secrets", lambda s: s["kind"] < 3))
     return df.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), spans_string(F.col("secrets")).alias("spans"))
+
+
+def sql() -> str:
+    """The same rows in DuckDB: places by the lengths of what lies between matches, entropies by whole recounts."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # RE2 has no back references; runs of one character are listed.
+    keys = "abcdefghijklmnopqrstuvwxyz0123456789"
+    allow = ALLOW.replace(r"(.)\1{7}", "|".join([f"{c}{{8}}" for c in keys] + [r"\+{8}", "/{8}", "_{8}", "={8}", "-{8}"]))
+
+    def spans(kind: int, pattern: str, group: int, least: int) -> str:
+        p = quoted(pattern)
+        m, g, s = f"regexp_extract_all(t, {p}, 0)", f"regexp_extract_all(t, {p}, {group})", f"string_split_regex(t, {p})"
+        return f"""s{kind} AS (SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+  'start': list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'kind': {kind}, 'size': length(g[i]), 'match': m[i]}}), lambda x: x.size >= {least}) AS f{kind}
+  FROM (SELECT doc_id, {m} AS m, {g} AS g, {s} AS s FROM t))"""
+
+    bits = f"list_max(list_transform(range(1, length(x.match) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(x.match, i, {WINDOW}), ''), 'entropy')))"
+    entropy = f"""list_filter(f3, lambda x: CASE WHEN regexp_matches(x.match, '[0-9]') AND regexp_matches(x.match, '[A-Za-z]') AND NOT regexp_matches(x.match, {quoted(allow)})
+  THEN {bits} >= CASE WHEN regexp_full_match(x.match, '[0-9A-Fa-f]+') THEN {HEX_BITS} ELSE {MIXED_BITS} END ELSE false END)"""
+    name = "[" + ", ".join(quoted(k) for k in KINDS) + "]"
+    text = lambda xs: f"coalesce(array_to_string(list_transform({xs}, lambda x: {name}[x.kind + 1] || ':' || CAST(x.start AS VARCHAR) || ':' || CAST(x.start + length(x.match) AS VARCHAR)), ','), '')"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{spans(0, ASSIGN, 2, 6)}, {spans(1, ACCESS, 0, 20)}, {spans(2, HEX, 0, 24)}, {spans(3, CANDIDATE, 0, WINDOW)},
+f AS (SELECT doc_id, f0, f1, f2, {entropy} AS f3 FROM s0 JOIN s1 USING (doc_id) JOIN s2 USING (doc_id) JOIN s3 USING (doc_id)),
+o AS (SELECT *, list_sort(f0 || f1 || f2) AS base, list_sort(f0 || f1 || f2 || f3) AS found FROM f)
+SELECT doc_id, CAST(len(f0) AS BIGINT) AS n_assign, CAST(len(f1) AS BIGINT) AS n_access, CAST(len(f2) AS BIGINT) AS n_hex, sha256({text("base")}) AS base_sha256, {text("found")} AS spans FROM o"""

@@ -329,3 +329,15 @@ def dedup(spark: SparkSession, df: DataFrame, s: Settings = Settings()) -> DataF
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark, documents(spark, sf_dir))
+
+
+def sql() -> str:
+    """The same rows in DuckDB, by grouping every window's words."""
+    return r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM t),
+f AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM x WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM f WHERE n = 20),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM k WHERE k > 1),
+y AS (SELECT x.doc_id, x.i, x.word, g.i IS NOT NULL AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i),
+z AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM y GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN z USING (doc_id)"""
