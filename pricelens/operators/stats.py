@@ -22,6 +22,14 @@ def cells(df: DataFrame, by: list[str], weight: Column, x: Column, y: Column, cl
     return df.groupBy(*by, *clusters).agg(*[v.alias(k) for k, v in sums.items()])
 
 
+def plain_and_weighted(df: DataFrame, by: list[str], weight: Column, x: Column, y: Column, clusters: tuple[str, ...] = CLUSTERS) -> tuple[DataFrame, DataFrame]:
+    """Cells with weight 1 and with the given weight, from one aggregation: both read the same shuffled sums."""
+    w = weight.cast("double")
+    both = df.groupBy(*by, *clusters).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x1"), F.sum(y).alias("y1"), F.sum(w).alias("w2"), F.sum(w * x).alias("x2"), F.sum(w * y).alias("y2"))
+    one = both.select(*by, *clusters, "n", F.col("n").cast("double").alias("sw"), F.col("x1").alias("swx"), F.col("y1").alias("swy"))
+    return one, both.select(*by, *clusters, "n", F.col("w2").alias("sw"), F.col("x2").alias("swx"), F.col("y2").alias("swy"))
+
+
 def clustered_mean(cell: DataFrame, by: list[str], clusters: tuple[str, ...] = CLUSTERS) -> DataFrame:
     """Weighted mean of y and its clustered error, by group."""
     total = cell.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("sw").alias("W"), F.sum("swx").alias("X"), F.sum("swy").alias("Y"))
