@@ -218,14 +218,14 @@ def big_slices(df: DataFrame, by: str, floor: int) -> DataFrame:
     return df.join(df.groupBy(by).agg(F.count("*").alias("slice_n")).filter(F.col("slice_n") >= floor).drop("slice_n"), by, "left_semi")
 
 
-def flb_per_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+def flb_per_slice(spark: SparkSession, sf_dir: str, slice_floor: int = SLICE_FLOOR, decile_floor: int = DECILE_FLOOR) -> DataFrame:
     """Deciles by event: counts, means, count- and dollar-weighted returns with three-way clustered errors."""
-    df = big_slices(filtered(spark, sf_dir), "event", SLICE_FLOOR)
+    df = big_slices(filtered(spark, sf_dir), "event", slice_floor)
     by = ["event", "decile"]
     cell, dollar = stats.plain_and_weighted(df, by, F.col("usdc"), F.col("price"), F.col("ret"))
     a = stats.clustered_mean(cell, by).select(*by, "n", (F.col("X") / F.col("W")).alias("mean_price"), F.col("theta").alias("mean_ret"), F.col("se").alias("se_ret"))
     b = stats.clustered_mean(dollar, by).select(*by, F.col("W").alias("usd"), F.col("theta").alias("mean_ret_usd"), F.col("se").alias("se_ret_usd"))
-    return _floored(a.join(b, by), DECILE_FLOOR, "mean_price", "mean_ret", "se_ret", "mean_ret_usd", "se_ret_usd").withColumn("usd", F.round("usd", 2))
+    return _floored(a.join(b, by), decile_floor, "mean_price", "mean_ret", "se_ret", "mean_ret_usd", "se_ret_usd").withColumn("usd", F.round("usd", 2))
 
 
 def _floored(df: DataFrame, floor: int, *names: str) -> DataFrame:
