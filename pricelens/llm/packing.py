@@ -25,25 +25,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
+from .textkernel import flat
 from .tokens import encoder, tokenizer_path
 
 SIZE, END = 1024, 2
 #: Step of the lengths from which patterns of three are enumerated.
 STEP = 16
-BYTES = 8 << 20
+BYTES = 12 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
 def slices(column: pa.Array, size: int = BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `size` bytes of text."""
+    """Row ranges of about `size` bytes of text, one row at least."""
     n, lo = len(column), 0
+    _, offsets = flat(column)
     while lo < n:
-        step = max(1, n - lo)
-        while step > 1 and column.slice(lo, step).nbytes > size:
-            step = max(1, step // 2)
-        yield lo, lo + step
-        lo += step
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1))
+        yield lo, hi
+        lo = hi
 
 
 def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token ids of whole text columns with the tokenizers library.
 
 A batch is cut at spaces and line feeds, its distinct pieces are encoded by the library (many pieces a call, with a
-separator whose id marks their ends), and the rows' ids are gathered from them in numpy. For the byte-level vocabulary a
+separator whose id marks their ends), and the rows' ids are gathered from them in numpy; nothing is kept between batches. For the byte-level vocabulary a
 cut is exact where a single white space stands between other characters, so rows with runs of white space, or white
 space other than these two, are encoded whole. The word vocabulary drops white space, so each cut is exact.
 
@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 
 from .textkernel import flat
 
-#: Distinct pieces whose ids a worker remembers, and pieces encoded in one string.
-REMEMBERED, PER_STRING = 400_000, 2_000
+#: Pieces encoded in one string.
+PER_STRING = 2_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,45 +49,81 @@ def _odd_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] > sums[offsets[:-1]]
 
 
+#: A letter that every version of Unicode knows as one, also in lower case (so not U+0130), and a comma or full stop.
+_TAIL = "[A-Za-z\\x{C0}-\\x{D6}\\x{D8}-\\x{F6}\\x{F8}-\\x{12F}\\x{131}-\\x{24F}][,.]$"
+
+
 class Encoder:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.t.no_truncation()
-        self.keeps_space = len(self.t.encode(" ", add_special_tokens=False).ids) > 0
+        self.keeps_space = len(self._ids(" ")) > 0
         self.mark = "\n" if self.keeps_space else "\x01"
-        ids = self.t.encode(self.mark, add_special_tokens=False).ids
+        self.head = " " if self.keeps_space else ""
+        self.mark_id, self.comma, self.stop = (self._one(x) for x in (self.mark, ",", "."))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.t.encode(text, add_special_tokens=False).ids
+
+    def _one(self, text: str) -> int:
+        ids = self._ids(text)
         if len(ids) != 1:
-            raise ValueError("the separator must be one token")
-        self.mark_id = ids[0]
-        self.known: dict[str, np.ndarray] = {}
-        self.remembered = remembered
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> None:
-        """Puts the pieces' ids into known. A piece stands after a space if the vocabulary keeps spaces, unless it
-        begins with a line feed, and ("\\n" alone apart) none ends with white space."""
-        head = " " if self.keeps_space else ""
-        alone = [p for p in pieces if self.mark in p]
-        rest = [p for p in pieces if self.mark not in p and p]
-        for p, ids in zip(alone, self._whole(alone), strict=True):
-            self.known[p] = ids
-        self.known[""] = self._whole([head])[0]
+            raise ValueError(f"{text!r} must be one token")
+        return ids[0]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts, and each text's number of them."""
+        lists = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        return np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes
+
+    def _joined(self, pieces: list[str], head: str) -> tuple[np.ndarray, np.ndarray]:
+        """As _whole for pieces after head, many in one string between marks. Those that hold a mark, and empty ones,
+        are encoded alone."""
+        alone = np.array([not p or self.mark in p for p in pieces], dtype=bool)
+        rest = [p for p in pieces if p and self.mark not in p]
         gap = self.mark if self.keeps_space else f" {self.mark} "
         strings = [head + (gap + head).join(rest[k : k + PER_STRING]) for k in range(0, len(rest), PER_STRING)]
-        for k, ids in enumerate(self._whole(strings)):
-            own = rest[k * PER_STRING : (k + 1) * PER_STRING]
-            ends = np.flatnonzero(ids == self.mark_id)
-            begin = np.concatenate([[0], ends + 1])
-            stop = np.append(ends, len(ids))
-            if len(begin) != len(own):
-                raise ValueError("pieces and separators don't agree")
-            self.known.update(zip(own, (ids[a:b] for a, b in zip(begin, stop, strict=True)), strict=True))
+        parts, sizes = [], np.zeros(len(pieces), dtype=np.int64)
+        own = []
+        for e in self.t.encode_batch_fast(strings, add_special_tokens=False):
+            ids = np.array(e.ids, dtype=np.uint32)
+            at = np.flatnonzero(ids == self.mark_id)
+            own.append(np.diff(at, prepend=-1, append=len(ids)) - 1)
+            parts.append(np.delete(ids, at))
+        if own:
+            sizes[~alone] = np.concatenate(own)  # fails if pieces and marks don't agree
+        flat_ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        if not alone.any():
+            return flat_ids, sizes
+        ids, n = self._whole([head + p for p, x in zip(pieces, alone.tolist(), strict=True) if x])
+        sizes[alone] = n
+        out = np.empty(int(sizes.sum()), dtype=np.uint32)
+        from_alone = np.repeat(alone, sizes)
+        out[from_alone], out[~from_alone] = ids, flat_ids
+        return out, sizes
+
+    def _table(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids and sizes of the distinct pieces. A comma or full stop after a letter is a token of its own; the pieces
+        without it are fewer."""
+        tail = pc.match_substring_regex(distinct, _TAIL)
+        base = pc.if_else(tail, pc.utf8_slice_codeunits(distinct, 0, -1), distinct).dictionary_encode()
+        ids, sizes = self._joined(base.dictionary.to_pylist(), self.head)
+        of = base.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ended = tail.to_numpy(zero_copy_only=False).astype(bool)
+        total = sizes[of] + ended
+        place = np.concatenate([[0], np.cumsum(total)])
+        out = np.empty(place[-1], dtype=np.uint32)
+        mask = np.ones(place[-1], dtype=bool)
+        last = place[1:][ended] - 1
+        mask[last] = False
+        out[last] = np.where(pc.ends_with(distinct, ",").to_numpy(zero_copy_only=False).astype(bool)[ended], self.comma, self.stop)
+        out[mask] = _gather(ids, sizes, of)
+        return out, total
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32) of all rows, one after the other, and the rows' bounds; null counts as empty."""
@@ -97,55 +133,54 @@ class Encoder:
         lo = int(offsets[0])
         odd = _odd_space(data[lo : int(offsets[-1])], offsets - lo) if self.keeps_space else np.zeros(n, dtype=bool)
         plain = pc.if_else(pa.array(~odd), column, pa.scalar("", pa.large_string())) if odd.any() else column
-        if self.keeps_space:  # a line feed goes with the piece after it; the others follow a space
-            cut = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
-        else:
-            cut = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        # A line feed stays with the piece after it, which then follows no space; all other pieces but a row's first do.
+        cut = pc.split_pattern(pc.replace_substring(plain, "\n", " \n" if self.keeps_space else " "), " ")
         words = cut.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        fresh = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(fresh) > self.remembered:
-            self.known, fresh = {}, distinct
-        self._pieces(fresh)
-        table = [self.known[p] for p in distinct]
-        # A row's first piece follows no space: its ids are taken apart from the table.
         index = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = cut.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
-        own = [np.zeros(0, np.uint32)] * n
-        if self.keeps_space:
-            first = index[bounds[:-1]] if n else index
-            starts = [distinct[k] for k in first]
-            bare = [k for k, p in enumerate(starts) if not odd[k] and p and p[0] != "\n"]
-            for k, ids in zip(bare, self._whole([starts[k] for k in bare]), strict=True):
-                own[k] = ids
-            for k in np.flatnonzero([p[:1] == "\n" for p in starts]).tolist():
-                own[k] = table[first[k]]
-            for k, ids in zip(np.flatnonzero(odd).tolist(), self._whole(column.filter(pa.array(odd)).to_pylist()), strict=True):
-                own[k] = ids
-            table.append(np.zeros(0, np.uint32))
-            index = index.copy()
-            index[bounds[:-1]] = len(table) - 1
-        sizes = np.array([len(x) for x in table], dtype=np.int64)
-        joined = np.concatenate(table) if table else np.zeros(0, np.uint32)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        count = sizes[index]
-        place = np.concatenate([[0], np.cumsum(count)])
-        pick = np.arange(place[-1]) - np.repeat(place[:-1] - at[index], count)
-        rest = joined[pick]
-        head = np.array([len(x) for x in own], dtype=np.int64)
-        inner = place[bounds]
-        total = np.concatenate([[0], np.cumsum(np.diff(inner) + head)])
-        if not head.any():
-            return rest, total
-        out = np.empty(total[-1], dtype=np.uint32)
-        is_head = np.zeros(total[-1] + 1, dtype=np.int64)
-        np.add.at(is_head, total[:-1], 1)
-        np.add.at(is_head, total[:-1] + head, -1)
-        front = np.cumsum(is_head[:-1]).astype(bool)
-        out[front] = np.concatenate(own)
-        out[~front] = rest
-        return out, total
+        distinct = words.dictionary
+        if not self.keeps_space:
+            ids, sizes = self._table(distinct)
+            place = np.concatenate([[0], np.cumsum(sizes[index])])
+            return _gather(ids, sizes, index), place[bounds]
+        # Line starts: the same table as the others', after the line feed, but bare.
+        feed = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False).astype(bool)
+        first = index[bounds[:-1]]
+        texts = distinct.take(pa.array(first)).to_pylist()
+        lines = distinct.filter(pa.array(feed)).to_pylist()
+        whole = column.filter(pa.array(odd)).to_pylist()
+        ids, sizes = self._table(distinct.filter(pa.array(~feed)))
+        bare, bare_sizes = self._joined([p[1:] for p in lines], "")
+        heads, head_sizes = self._joined([t.removeprefix("\n") for t in texts], "")
+        rows, row_sizes = self._whole(whole)
+        # One table of all: pieces after a space, lines (with their feed), row starts, rows encoded whole, nothing.
+        starts_feed = np.array([t[:1] == "\n" for t in texts], dtype=bool)
+        table = np.concatenate([ids, _after(self.mark_id, bare, bare_sizes, np.ones(len(lines), bool)), _after(self.mark_id, heads, head_sizes, starts_feed), rows])
+        table_sizes = np.concatenate([sizes, bare_sizes + 1, head_sizes + starts_feed, row_sizes])
+        to = np.empty(len(distinct), dtype=np.int64)
+        to[~feed] = np.arange(len(sizes))
+        to[feed] = len(sizes) + np.arange(len(lines))
+        index = to[index]
+        base = len(sizes) + len(lines)
+        index[bounds[:-1]] = np.where(odd, base + n + np.cumsum(odd) - 1, base + np.arange(n))
+        place = np.concatenate([[0], np.cumsum(table_sizes[index])])
+        return _gather(table, table_sizes, index), place[bounds]
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The ids of the pieces index, one after the other; sizes: of all pieces, in their order in ids."""
+    start = np.cumsum(sizes) - sizes
+    count = sizes[index]
+    ends = np.cumsum(count)
+    pick = np.repeat(start[index] - (ends - count), count)
+    pick += np.arange(len(pick))
+    return ids[pick]
+
+
+def _after(mark: int, ids: np.ndarray, sizes: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """ids with the mark before each piece that uses it."""
+    return np.insert(ids, (np.cumsum(sizes) - sizes)[use], mark) if use.any() else ids
 
 
 @cache

@@ -4,14 +4,16 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from pricelens.llm import tokens
 from pricelens.llm.tokens import Encoder, tokenizer_path
 
-PIECES = ["the", "Word,", "été", "x's", "don't", "12345", "!?…", "\n", "\n\n", " ", "  ", "\t", " ", "　", "é", "́", "ΟΔΟΣ", "İ", "<|endoftext|>", "<|startoftext|>", "\x01", "日本語", "\x1c", "A" * 50, "’", "ß.", "\r\n", "\x85", " ", "🙂"]
+PIECES = ["the", "Word,", "x.", "é,", ",", "..", "7,", "Ω.", "\nx,", "été", "x's", "don't", "12345", "!?…", "\n", "\n\n", " ", "  ", "\t", " ", "　", "é", "́", "ΟΔΟΣ", "İ", "<|endoftext|>", "<|startoftext|>", "\x01", "日本語", "\x1c", "A" * 50, "’", "ß.", "\r\n", "\x85", " ", "🙂"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-@pytest.mark.parametrize("remembered", [50, 100_000])
-def test_same_ids_as_whole_texts(name, remembered):
+@pytest.mark.parametrize("per_string", [3, 2000])
+def test_same_ids_as_whole_texts(name, per_string, monkeypatch):
+    monkeypatch.setattr(tokens, "PER_STRING", per_string)
     rng = random.Random(5)
     texts = [None, "", " ", "\n", "a", " a", "\na", "a\n", "a ", "a b\nc d"]
     for _ in range(1500):
@@ -19,7 +21,7 @@ def test_same_ids_as_whole_texts(name, remembered):
         texts.append(gap.join(rng.choice(PIECES[: rng.choice([8, len(PIECES)])]) for _ in range(rng.randint(1, 12))))
     whole = Tokenizer.from_file(tokenizer_path(name))
     whole.encode_special_tokens = True
-    e = Encoder(tokenizer_path(name), remembered)
+    e = Encoder(tokenizer_path(name))
     for lo in range(0, len(texts), 400):
         part = texts[lo : lo + 400]
         ids, bounds = e.encode(pa.array(part, pa.string()))
