@@ -7,6 +7,9 @@ equi-join inside the scan, so documents are never shuffled). Each hit fixes an a
 verified on the words around it: some stretch of LEAST words, or the whole item if it is shorter, must agree in at least
 SHARE of its places.
 
+Every set of three places of SPAN is ignored by some mask, and documents are looked up EDGE places beyond both ends, so
+each alignment of an item of SPAN words or more that the verification accepts is hit.
+
 Benchmark items go to the executors in blocks of at most BLOCK words; a larger benchmark takes a pass for each block.
 
 Defined results: null and empty texts match nothing; items of under SHORT words match nothing; items shorter than SPAN
@@ -16,6 +19,7 @@ row, item id); columns beside id and text pass by.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +32,15 @@ from .common import documents, table
 from .textkernel import ALNUM, chunks, mix, odd
 
 SPAN = 12
-#: Fixed masks: 1 marks a place that must agree.
-MASKS = ("111011010011", "110101100111", "101110011011", "111111100000", "000001111111")
+#: Fixed masks: 1 marks a place that must agree. Any three places are ignored by at least one.
+MASKS = (
+    "000011001111", "001001110011", "001010111100", "010001111100", "010100101011",
+    "010111100100", "011010010101", "011101011000", "100101010110", "100110011001",
+    "101010101010", "101100100101", "110010110010", "111000001110", "111011000001",
+)
 LEAST, SHARE, SHORT = 12, 0.75, 5
+#: Places of a stretch that may lie beyond a document's ends.
+EDGE = LEAST - math.ceil(SHARE * LEAST)
 BLOCK = 500_000
 PAIRS = 1 << 20
 
@@ -41,15 +51,28 @@ def _offsets(mask: str) -> list[int]:
     return [k for k, x in enumerate(mask) if x == "1"]
 
 
-def _hash(wh: np.ndarray, places: list[int], span: int, seed: int) -> np.ndarray:
+def _by_place(wh: np.ndarray) -> list[np.ndarray]:
+    """What each word adds to a window's hash at each place."""
+    return [wh * U64(odd(64 + k)) for k in range(SPAN)]
+
+
+def _hash(by_place: list[np.ndarray], places: list[int], span: int) -> np.ndarray:
     """Hash of the selected words of every window of span words."""
-    n = max(0, len(wh) - span + 1)
+    n = max(0, len(by_place[0]) - span + 1)
     out = np.zeros(n, dtype=U64)
     for k in places:
-        out += wh[k : k + n] * U64(odd(seed * 64 + k))
+        out += by_place[k][k : k + n]
     return mix(out)
 
 
+def _padded(words: np.ndarray, bounds: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words with EDGE places that agree with nothing before and after each row, and the rows' bounds in them."""
+    wide = bounds + 2 * EDGE * np.arange(len(bounds))
+    out = np.full(wide[-1], U64(odd(0)))
+    out[np.arange(len(words)) + EDGE * (2 * row + 1)] = words
+    return out, wide
+
+
 @dataclass(frozen=True)
 class Block:
     """Items with their words' hashes, and by (span, places) the sorted hashes of their masked windows, with the item
@@ -58,7 +81,7 @@ class Block:
     ids: list[int]
     words: np.ndarray
     bounds: np.ndarray
-    seeds: list[tuple[int, list[int], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    seeds: list[tuple[int, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def block(ids: list[int], texts: list[str | None]) -> Block:
@@ -67,18 +90,20 @@ def block(ids: list[int], texts: list[str | None]) -> Block:
     bounds = parts[0].bounds if parts else np.zeros(1, np.int64)
     sizes = np.diff(bounds)
     seeds = []
-    kinds = [(SPAN, _offsets(m), 1 + k, sizes >= SPAN) for k, m in enumerate(MASKS)]
-    kinds += [(int(n), list(range(n)), 100 + int(n), sizes == n) for n in np.unique(sizes) if SHORT <= n < SPAN]
+    kinds = [(SPAN, _offsets(m), sizes >= SPAN) for m in MASKS]
+    kinds += [(int(n), list(range(n)), sizes == n) for n in np.unique(sizes) if SHORT <= n < SPAN]
     row = np.repeat(np.arange(len(sizes)), sizes)
-    for span, places, seed, use in kinds:
-        h = _hash(words, places, span, seed)
+    by_place = _by_place(words)
+    for span, places, use in kinds:
+        h = _hash(by_place, places, span)
         at = np.arange(len(h))
         ok = use[row[: len(h)]] & (at + span <= bounds[1:][row[: len(h)]]) if len(h) else np.zeros(0, bool)
         h, at = h[ok], at[ok]
         order = np.argsort(h, kind="stable")
         there = np.zeros(1 << 20, dtype=bool)
         there[h >> U64(44)] = True
-        seeds.append((span, places, seed, h[order], row[at[order]], at[order] - bounds[row[at[order]]], there))
+        items = row[at[order]]
+        seeds.append((span, places, h[order], items.astype(np.int32), (at[order] - bounds[items]).astype(np.int32), there))
     return Block(ids, words, bounds, seeds)
 
 
@@ -105,11 +130,13 @@ def pairs(column: pa.Array, b: Block) -> Iterator[tuple[int, int, int, int]]:
     for c in chunks(column, word=ALNUM):
         words = c.hashes(lower=True)
         ends = c.bounds[1:]
+        wide, wide_bounds = _padded(words, c.bounds, c.row)
+        by_place = _by_place(wide)
         found = []
-        for span, places, seed, table_, items, offsets, there in b.seeds:
-            h = _hash(words, places, span, seed)
+        for span, places, table_, items, offsets, there in b.seeds:
+            h = _hash(by_place, places, span)
             at = np.flatnonzero(there[h >> U64(44)])
-            at = at[at + span <= ends[c.row[at]]]
+            at = at[at + span <= wide_bounds[np.searchsorted(wide_bounds, at, side="right")]]
             first = np.searchsorted(table_, h[at], side="left")
             count = np.searchsorted(table_, h[at], side="right") - first
             at, first, count = at[count > 0], first[count > 0], count[count > 0]
@@ -118,7 +145,8 @@ def pairs(column: pa.Array, b: Block) -> Iterator[tuple[int, int, int, int]]:
                 cut = np.concatenate([[0], np.cumsum(m)])
                 pick = np.arange(cut[-1]) - np.repeat(cut[:-1] - first[x : x + 4096], m)
                 place = np.repeat(at[x : x + 4096], m)
-                found.append(np.unique(np.stack([c.row[place], items[pick], place - offsets[pick]]), axis=1))
+                row = np.searchsorted(wide_bounds, place, side="right") - 1
+                found.append(np.unique(np.stack([row, items[pick], place - EDGE * (2 * row + 1) - offsets[pick]]), axis=1))
         if not found:
             continue
         row, item, diag = np.unique(np.concatenate(found, axis=1), axis=1)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -62,3 +63,24 @@ def test_clean(spark, sf):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - bad
     assert D.clean(spark, docs, bench.limit(0)).count() == docs.count()
+
+
+def test_masks_ignore_any_places_that_may_differ():
+    for n, masks in ((D.SPAN, D.MASKS),):
+        for places in itertools.combinations(range(n), n - math.ceil(D.SHARE * n)):
+            assert any(all(m[k] == "0" for k in places) for m in masks)
+
+
+def test_random_substitutions_like_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"v{k}" for k in range(5000)]
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items, docs = [make(rng.randint(12, 20)) for _ in range(60)], []
+    for it in items:
+        for share in (0.05, 0.1, 0.2, 0.25):
+            part = [w if rng.random() >= share else rng.choice(vocab) for w in it]
+            docs.append(" ".join(make(rng.choice((0, 9))) + part[rng.choice((0, 0, 3)) :] + make(rng.choice((0, 9)))))
+    texts = [" ".join(x) for x in items]
+    expected = {(j, k): m for j, d in enumerate(docs) for k, t in enumerate(texts) if (m := alike(d, t)) is not None}
+    assert len(expected) > 100
+    assert run(spark, docs, texts) == expected
