@@ -7,14 +7,15 @@ equi-join inside the scan, so documents are never shuffled). Each hit fixes an a
 verified on the words around it: some stretch of LEAST words, or the whole item if it is shorter, must agree in at least
 SHARE of its places.
 
-Every set of three places of SPAN is ignored by some mask, and documents are looked up EDGE places beyond both ends, so
-each alignment of an item of SPAN words or more that the verification accepts is hit.
+Every set of three places of SPAN is ignored by some mask, items shorter than SPAN get masks of their own length that
+ignore every set of places that may differ, and documents are looked up EDGE places beyond both ends, so each alignment
+that the verification accepts is hit.
 
 Benchmark items go to the executors in blocks of at most BLOCK words; a larger benchmark takes a pass for each block.
 
-Defined results: null and empty texts match nothing; items of under SHORT words match nothing; items shorter than SPAN
-are looked up whole, so all their words must agree; repeated rows and items give repeated pairs once for each (document
-row, item id); columns beside id and text pass by.
+Defined results: null and empty texts match nothing; items of under SHORT words match nothing and are listed by
+unsearched(); repeated rows and items give repeated pairs once for each (document row, item id); columns beside id and
+text pass by.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ LEAST, SHARE, SHORT = 12, 0.75, 5
 #: Places of a stretch that may lie beyond a document's ends.
 EDGE = LEAST - math.ceil(SHARE * LEAST)
 BLOCK = 500_000
+#: Places of a chunk whose windows are hashed at once.
+PART = 1 << 14
 PAIRS = 1 << 20
 
 U64 = np.uint64
@@ -51,6 +56,21 @@ def _offsets(mask: str) -> list[int]:
     return [k for k, x in enumerate(mask) if x == "1"]
 
 
+@cache
+def masks(size: int) -> tuple[str, ...]:
+    """Masks for a span of size words, SPAN at most: any places that may differ by SHARE are ignored by at least one. Of
+    the masks that ignore half of the places, the one that serves most sets of places yet unserved comes next."""
+    if size == SPAN:
+        return MASKS
+    left = {frozenset(x) for x in combinations(range(size), size - math.ceil(SHARE * size))}
+    out = []
+    while left:
+        best = max(combinations(range(size), size // 2), key=lambda gone: sum(x.issubset(gone) for x in left))
+        left = {x for x in left if not x.issubset(best)}
+        out.append("".join("0" if k in best else "1" for k in range(size)))
+    return tuple(out)
+
+
 def _by_place(wh: np.ndarray) -> list[np.ndarray]:
     """What each word adds to a window's hash at each place."""
     return [wh * U64(odd(64 + k)) for k in range(SPAN)]
@@ -91,7 +111,7 @@ def block(ids: list[int], texts: list[str | None]) -> Block:
     sizes = np.diff(bounds)
     seeds = []
     kinds = [(SPAN, _offsets(m), sizes >= SPAN) for m in MASKS]
-    kinds += [(int(n), list(range(n)), sizes == n) for n in np.unique(sizes) if SHORT <= n < SPAN]
+    kinds += [(int(n), _offsets(m), sizes == n) for n in np.unique(sizes) if SHORT <= n < SPAN for m in masks(int(n))]
     row = np.repeat(np.arange(len(sizes)), sizes)
     by_place = _by_place(words)
     for span, places, use in kinds:
@@ -131,22 +151,25 @@ def pairs(column: pa.Array, b: Block) -> Iterator[tuple[int, int, int, int]]:
         words = c.hashes(lower=True)
         ends = c.bounds[1:]
         wide, wide_bounds = _padded(words, c.bounds, c.row)
-        by_place = _by_place(wide)
         found = []
-        for span, places, table_, items, offsets, there in b.seeds:
-            h = _hash(by_place, places, span)
-            at = np.flatnonzero(there[h >> U64(44)])
-            at = at[at + span <= wide_bounds[np.searchsorted(wide_bounds, at, side="right")]]
-            first = np.searchsorted(table_, h[at], side="left")
-            count = np.searchsorted(table_, h[at], side="right") - first
-            at, first, count = at[count > 0], first[count > 0], count[count > 0]
-            for x in range(0, len(at), 4096):
-                m = count[x : x + 4096]
-                cut = np.concatenate([[0], np.cumsum(m)])
-                pick = np.arange(cut[-1]) - np.repeat(cut[:-1] - first[x : x + 4096], m)
-                place = np.repeat(at[x : x + 4096], m)
-                row = np.searchsorted(wide_bounds, place, side="right") - 1
-                found.append(np.unique(np.stack([row, items[pick], place - EDGE * (2 * row + 1) - offsets[pick]]), axis=1))
+        for start in range(0, len(wide), PART):
+            by_place = _by_place(wide[start : start + PART + SPAN - 1])
+            for span, places, table_, items, offsets, there in b.seeds:
+                h = _hash(by_place, places, span)[:PART]
+                at = np.flatnonzero(there[h >> U64(44)])
+                h, at = h[at], at + start
+                inside = at + span <= wide_bounds[np.searchsorted(wide_bounds, at, side="right")]
+                h, at = h[inside], at[inside]
+                first = np.searchsorted(table_, h, side="left")
+                count = np.searchsorted(table_, h, side="right") - first
+                at, first, count = at[count > 0], first[count > 0], count[count > 0]
+                for x in range(0, len(at), 4096):
+                    m = count[x : x + 4096]
+                    cut = np.concatenate([[0], np.cumsum(m)])
+                    pick = np.arange(cut[-1]) - np.repeat(cut[:-1] - first[x : x + 4096], m)
+                    place = np.repeat(at[x : x + 4096], m)
+                    row = np.searchsorted(wide_bounds, place, side="right") - 1
+                    found.append(np.unique(np.stack([row, items[pick], place - EDGE * (2 * row + 1) - offsets[pick]]), axis=1))
         if not found:
             continue
         row, item, diag = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -178,6 +201,19 @@ def blocks(benchmark: DataFrame, most: int = BLOCK) -> Iterator[Block]:
         yield block(ids, texts)
 
 
+def unsearched(benchmark: DataFrame) -> DataFrame:
+    """The items too short to be searched, which match nothing: item_id, item_words."""
+    schema = "item_id long, item_words long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.diff(c.bounds) for c in chunks(batch.column(1), word=ALNUM)]
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["item_id", "item_words"])
+
+    return benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema).filter(F.col("item_words") < SHORT)
+
+
 def find(spark: SparkSession, df: DataFrame, benchmark: DataFrame, most: int = BLOCK) -> DataFrame:
     """A row for each document of (doc_id, text) and item whose overlap is verified: doc_id, item_id, matched (places
     that agree on the best alignment), item_words, overlap (their share), first_word (of the alignment in the document;

@@ -84,3 +84,32 @@ def test_random_substitutions_like_brute_force(spark):
     expected = {(j, k): m for j, d in enumerate(docs) for k, t in enumerate(texts) if (m := alike(d, t)) is not None}
     assert len(expected) > 100
     assert run(spark, docs, texts) == expected
+
+
+def test_short_masks():
+    for n in range(D.SHORT, D.SPAN):
+        for places in itertools.combinations(range(n), n - math.ceil(D.SHARE * n)):
+            assert any(all(m[k] == "0" for k in places) for m in D.masks(n))
+
+
+def test_short_items_like_brute_force(spark):
+    rng = random.Random(6)
+    vocab = [f"v{k}" for k in range(5000)]
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items, docs = [make(n) for n in range(D.SHORT, D.SPAN) for _ in range(6)], []
+    for it in items:
+        for off in (1, 2, 3):
+            part = list(it)
+            for k in rng.sample(range(len(it)), off):
+                part[k] = rng.choice(vocab)
+            docs.append(" ".join(make(rng.choice((0, 9))) + part[rng.choice((0, 0, 1)) :] + make(rng.choice((0, 9)))))
+    texts = [" ".join(x) for x in items]
+    expected = {(j, k): m for j, d in enumerate(docs) for k, t in enumerate(texts) if (m := alike(d, t)) is not None}
+    assert len(expected) > 40
+    assert run(spark, docs, texts) == expected
+
+
+def test_unsearched(spark):
+    items = [" ".join(f"w{k}" for k in range(n)) for n in (4, 5, 1, 30)] + [None, "", "one, two"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {tuple(r) for r in D.unsearched(bench).collect()} == {(0, 4), (2, 1), (4, 0), (5, 0), (6, 2)}
