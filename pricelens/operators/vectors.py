@@ -14,6 +14,8 @@ from ..sources.tape import read, tape
 
 #: Queries in a broadcast block, neighbours kept, similarity that counts as near.
 BLOCK, K, TAU = 2048, 25, 0.25
+#: Reference rows of the mutual proximity, and rows that it scores at once.
+REFERENCE, PART = 2048, 512
 
 
 def backward_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -142,37 +144,76 @@ def joint_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "term string, beta double, se double")
 
 
-def mutual_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of queries rescaled by both ends' similarity to fixed reference rows: the product of two normal
-    probabilities of standardised similarities. Rows only."""
-    import math
+def _phi(z: np.ndarray) -> np.ndarray:
+    """Normal probability by a rational approximation (error under 1e-7)."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = np.exp(-z * z / 2) / np.sqrt(2 * np.pi) * poly
+    return np.where(z >= 0, 1 - tail, tail)
 
-    v, q = _vectors(spark, sf_dir)
-    ref = np.array([r["vector"] for r in v.orderBy(F.xxhash64("id")).limit(256).collect()], dtype=np.float64)  # a sample of fixed size
-    ref /= np.maximum(np.linalg.norm(ref, axis=1, keepdims=True), 1e-12)
-    shared = spark.sparkContext.broadcast(ref)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(b), -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = x @ shared.value.T
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.mean(axis=1)), pa.array(np.maximum(s.std(axis=1, ddof=1), 1e-3))], names=["id", "mu", "sd"])
-
-    scale = v.mapInArrow(run, "id long, mu double, sd double")
-    n = backward_neighbours(spark, v, q)
-    j = n.join(scale.withColumnsRenamed({"id": "q", "mu": "mq", "sd": "sq"}), "q").join(scale, "id")
 
-    def phi(z):
-        """Normal probability by a rational approximation (error under 1e-7), as a column expression."""
-        t = 1 / (1 + 0.2316419 * F.abs(z))
-        poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-        tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
-        return F.when(z >= 0, 1 - tail).otherwise(tail)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _spread(x: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and standard deviation (at least 1e-3) of each row's similarity to the reference rows."""
+    s = x @ ref.T
+    return s.mean(axis=1), np.maximum(s.std(axis=1, ddof=1), 1e-3)
+
+
+def rescaled_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
+    """(q, id, mp, rank): for each query row the k rows born before it whose mutual proximity is highest: the product of
+    two normal probabilities of the similarity, standardised by either end's similarity to REFERENCE fixed rows. All
+    earlier rows are rescaled; each task keeps its own best k of a block, and Spark merges them. Ties go to the smaller
+    id."""
+    schema = "q long, id long, mp double"
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(REFERENCE).collect()
+    out = spark.createDataFrame([], schema)
+    if not sample:
+        return out.withColumn("rank", F.lit(0))
+    ref = spark.sparkContext.broadcast(_unit(np.array([r["vector"] for r in sample], dtype=np.float64)))
+    held: list = []
+
+    def against(rows: list) -> DataFrame:
+        q = np.array([r[0] for r in rows], dtype=np.int64)
+        m = _unit(np.array([r[1] for r in rows], dtype=np.float64))
+        shared = spark.sparkContext.broadcast((q, m, *_spread(m, ref.value)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, m, mq, sq = shared.value
+            best, names = np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), dtype=np.int64)
+            for b in batches:
+                for x in range(0, len(b), PART):
+                    part = b.slice(x, PART)
+                    ids = part.column(0).to_numpy()
+                    v = _unit(part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(part), -1))
+                    mu, sd = _spread(v, ref.value)
+                    sim = m @ v.T
+                    mp = np.round(_phi((sim - mq[:, None]) / sq[:, None]) * _phi((sim - mu) / sd), 9)
+                    mp[ids[None, :] >= q[:, None]] = -np.inf
+                    mp, to = np.hstack([best, mp]), np.hstack([names, np.broadcast_to(ids, mp.shape)])
+                    top = np.lexsort((to, -mp), axis=1)[:, :k]
+                    best, names = np.take_along_axis(mp, top, axis=1), np.take_along_axis(to, top, axis=1)
+            ok = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], best.shape)[ok]), pa.array(names[ok]), pa.array(best[ok])], names=["q", "id", "mp"])
+
+        return vectors.mapInArrow(run, schema)
+
+    for r in queries.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = out.union(against(held)), []
+    if held:
+        out = out.union(against(held))
+    w = Window.partitionBy("q").orderBy(F.desc("mp"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
 
-    mp = phi((F.col("sim") - F.col("mq")) / F.col("sq")) * phi((F.col("sim") - F.col("mu")) / F.col("sd"))
-    return j.groupBy("q").agg(F.count("*").alias("neighbours"), r6(F.avg(mp)).alias("mean_mp"), r6(F.max(mp)).alias("max_mp"))
+def mutual_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and highest mutual proximity of query rows to the 25 earlier rows that are nearest by it. Rows only."""
+    v, q = _vectors(spark, sf_dir)
+    return rescaled_neighbours(spark, v, q).groupBy("q").agg(F.count("*").alias("neighbours"), r6(F.avg("mp")).alias("mean_mp"), r6(F.max("mp")).alias("max_mp"))
 
 
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

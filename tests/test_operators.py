@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import json
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -90,6 +91,24 @@ def test_backward_neighbours_like_numpy(spark):
     assert (0, 1) not in got
 
 
+def test_mutual_proximity_like_numpy(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    m = (rng.normal(size=(700, 8)) + rng.normal(size=(700, 1)) * rng.normal(size=8)).astype(np.float32)
+    rows = [(k, [float(x) for x in v], 0) for k, v in enumerate(m)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = m.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    z = (s - s.mean(axis=1)[:, None]) / s.std(axis=1, ddof=1)[:, None]
+    phi = np.vectorize(lambda x: (1 + math.erf(x / math.sqrt(2))) / 2)(z)
+    mp = phi * phi.T
+    got = {r["q"]: (r["neighbours"], r["mean_mp"], r["max_mp"]) for r in vectors.mutual_proximity(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(100, 700, 100))
+    for q, (n, mean, most) in got.items():
+        top = np.sort(mp[q, :q])[::-1][:25]
+        assert n == 25 and abs(mean - top.mean()) < 2e-6 and abs(most - top[0]) < 2e-6
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "n": 1}, {"id": "y", "n": None}]))
     assert io.json_array(spark, str(tmp_path / "a.json"), "id string, n long").count() == 2
