@@ -4,11 +4,12 @@ Base kinds (assign, access, hex) are leftmost non-overlapping matches of fixed p
 takes runs of key characters as candidates, slides a window of `window` characters over each, keeps the counts of the
 window's characters up to date by one in and one out, and reports the candidate if some window's entropy reaches the
 limit of its character class (hex digits; mixed key characters). Candidates that the allow-list knows are suppressed.
+Each row costs in proportion to its text, however long a candidate is and however many secrets there are.
 
 Rows are handled on their own: no shuffle. Spans are code points, end exclusive.
 
 Defined results: null or empty text has no spans (empty strings, the digest of the empty string); repeated rows and null
-ids give one row each; columns beside the id and the text are not read.
+ids give one row each; other columns pass by, and one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -34,96 +35,172 @@ HEX_BITS, MIXED_BITS = 3.0, 3.7
 ALLOW = r"(?i)example|placeholder|changeme|your_|dummy|0123456789|abcdefghij|(.)\1{7}"
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Bits of a packed count, counts in a long, and the fixed point of the sums of n*log2(n).
+_FIELD, _FIELDS, _SCALE = 5, 12, 1 << 40
+_KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_BLOCK = 128
+_CHUNK = 4096
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """Spans of the matches whose group has `least` characters or more. Between the matches stand split()'s pieces, so
-    their lengths add up to the places."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    measured = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"), measured.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, as the variable of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join, zero: int) -> Column:
+    """Running sums (or maxima) of an array of ints, by blocks, so that no long array is copied for each element."""
+    state = F.struct(F.lit(zero).alias("v"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end"))
-        keep = F.coalesce(F.length(x["part"]) >= least, F.lit(False))
-        return F.struct(b.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        v = join(acc["v"], x)
+        return F.struct(v.alias("v"), F.array_append(acc["out"], v).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def parts(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)))
+        inner = F.transform(blocks, lambda block: F.aggregate(block, state, step, lambda acc: acc["out"]))
+        return _bound(inner, whole)
 
+    def whole(inner: Column) -> Column:
+        before = lambda acc, block: F.struct(join(acc["v"], F.element_at(block, -1)).alias("v"), F.array_append(acc["out"], acc["v"]).alias("out"))
+        bases = F.aggregate(inner, state, before, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(inner, bases, lambda block, base: F.transform(block, lambda x: join(base, x))))
 
-def _entropy(candidate: Column, window: int) -> Column:
-    """The largest entropy, in bits a character, of the candidate's windows. counts has a place for each ASCII code;
-    one character comes in and one goes out a step, and the sum of c*log2(c) follows by differences."""
-    xlogx = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
-    code = lambda i: F.ascii(F.substr(candidate, i, F.lit(1)))
-    term = lambda n: F.element_at(xlogx, n + 1)
+    return _bound(values, lambda a: F.when(F.size(a) > 0, parts(a)).otherwise(F.array().cast("array<int>")))
+
+
+def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
+    """Spans, with what they match, of the matches whose group has `least` characters or more. Between the matches stand
+    split()'s pieces, so the running sum of both lengths gives each match's end."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    measured = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    both = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
+    rows = F.arrays_zip(matches.alias("match"), measured.alias("part"), _running(both, lambda a, b: a + b, 0).alias("end"))
+    found = F.filter(rows, lambda x: F.coalesce(F.length(x["part"]) >= least, F.lit(False)))
+    return F.transform(found, lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["match"].alias("match")))
+
+
+def _least_sum(candidate: Column, window: int) -> Column:
+    """The least sum of n*log2(n), in 1/_SCALE, over the counts n of a window's characters: the window of that sum has
+    the candidate's largest entropy, log2(window) - sum / window.
+
+    The characters' counts in the window are fields of longs. A step adds one field and takes one away, and the sum
+    follows by differences, so each character costs the same wherever it stands; whole numbers keep the sum exact."""
+    xlogx = [round(n * math.log2(n) * _SCALE) if n else 0 for n in range(window + 2)]
+    #: What the sum gains when a count n grows, and what it loses when a count n shrinks.
+    grows = F.array(*[F.lit(xlogx[n + 1] - xlogx[n]).cast("long") for n in range(window + 1)])
+    shrinks = F.array(*[F.lit(xlogx[n] - xlogx[n - 1] if n else 0).cast("long") for n in range(window + 1)])
+    words = -(-len(_KEY_CHARACTERS) // _FIELDS)
+    place = [0] * 128
+    for k, c in enumerate(_KEY_CHARACTERS):
+        place[ord(c)] = k
+    places = F.array(*[F.lit(k) for k in place])
+    none = F.lit(-1)
+
+    def steps(codes: Column) -> Column:
+        def one(new: Column, i: Column) -> Column:
+            old = F.when(i >= window, F.element_at(codes, i - window + 1)).otherwise(none)
+            word = lambda c: F.when(c < 0, F.lit(0)).otherwise(F.floor(c / _FIELDS).cast("int"))
+            # Without a character that goes, the field beyond the last, which stays empty.
+            shift = lambda c: F.when(c < 0, F.lit(_FIELDS * _FIELD)).otherwise(F.pmod(c, F.lit(_FIELDS)) * _FIELD).cast("int")
+            return _bound(old, lambda o: F.struct((new == o).alias("same"), (i + 1 >= window).alias("whole"), word(new).alias("nw"), shift(new).alias("ns"), word(o).alias("ow"), shift(o).alias("os"), (o >= 0).alias("goes")))
+
+        return F.transform(codes, one)
+
+    def bit(shift: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+
+    def count(counts: Column, word: Column, shift: Column) -> Column:
+        field = F.call_function("shiftrightunsigned", F.element_at(counts, word + 1), shift)
+        return field.bitwiseAND(F.lit((1 << _FIELD) - 1).cast("long")).cast("int")
 
-    def step(acc: Column, i: Column) -> Column:
-        new = code(i)
-        old = F.when(i > window, code(F.greatest(i - window, F.lit(1)))).otherwise(F.lit(-1))
-        same = new == old
-        n, o = F.element_at(acc["counts"], new + 1), F.element_at(acc["counts"], F.greatest(old, F.lit(0)) + 1)
-        total = F.when(same, acc["total"]).otherwise(acc["total"] + term(n + 1) - term(n) + F.when(old >= 0, term(F.greatest(o - 1, F.lit(0))) - term(o)).otherwise(F.lit(0.0)))
-        counts = F.when(same, acc["counts"]).otherwise(F.transform(acc["counts"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0)))
-        bits = F.when(i >= window, F.lit(math.log2(window)) - total / window).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), total.alias("total"), F.greatest(acc["most"], bits).alias("most"))
+    def step(acc: Column, x: Column) -> Column:
+        gain = F.element_at(grows, count(acc["counts"], x["nw"], x["ns"]) + 1)
+        loss = F.element_at(shrinks, count(acc["counts"], x["ow"], x["os"]) + 1)
+        moved = F.transform(acc["counts"], lambda c, k: c + F.when(k == x["nw"], bit(x["ns"])).otherwise(F.lit(0).cast("long")) - F.when((k == x["ow"]) & x["goes"], bit(x["os"])).otherwise(F.lit(0).cast("long")))
+        total = F.when(x["same"], acc["total"]).otherwise(acc["total"] + gain - loss)
+        return F.struct(F.when(x["same"], acc["counts"]).otherwise(moved).alias("counts"), total.alias("total"), F.when(x["whole"], F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), zero, step, lambda acc: acc["most"])
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), words).alias("counts"), F.lit(0).cast("long").alias("total"), F.lit((1 << 63) - 1).cast("long").alias("least"))
+    codes = F.transform(F.split(candidate, ""), lambda c: F.element_at(places, F.ascii(c) + 1))
+    return F.aggregate(_bound(codes, steps), zero, step, lambda acc: acc["least"])
 
 
 def _entropy_spans(text: Column, window: int, hex_bits: float, mixed_bits: float) -> Column:
-    kind = KINDS.index("entropy")
-    spans = _spans(text, CANDIDATE, kind, 0, window)
+    if not 1 < window < 1 << _FIELD:
+        raise ValueError(f"window must be from 2 to {(1 << _FIELD) - 1}")
+    most = lambda bits: F.lit(math.floor((math.log2(window) - bits) * window * _SCALE)).cast("long")
 
     def keep(s: Column) -> Column:
-        c = F.substr(text, s["start"] + 1, s["end"] - s["start"])
+        c = s["match"]
         mixed = c.rlike("[0-9]") & c.rlike("[A-Za-z]") & ~c.rlike(ALLOW)
-        limit = F.when(c.rlike("^[0-9A-Fa-f]+$"), F.lit(hex_bits)).otherwise(F.lit(mixed_bits))
-        return F.when(mixed, _entropy(c, window) >= limit).otherwise(F.lit(False))
+        limit = F.when(c.rlike("^[0-9A-Fa-f]+$"), most(hex_bits)).otherwise(most(mixed_bits))
+        return F.when(mixed, _least_sum(c, window) <= limit).otherwise(F.lit(False))
 
-    return F.filter(spans, keep)
+    return F.filter(_spans(text, CANDIDATE.replace("20", str(window)), KINDS.index("entropy"), 0, window), keep)
 
 
-def find(df: DataFrame, text: str = "text", window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS) -> DataFrame:
-    """df with `secrets`: structs (start, kind, end) ordered by start and kind; kind is the place in KINDS.
+def spans(text: Column, window: int = WINDOW, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS) -> Column:
+    """The text's secrets: structs (start, kind, end) ordered by start and kind; kind is the place in KINDS.
 
     Cheap substring tests come first, so that only rows that can hold a kind pay for its pattern."""
-    t, none = F.coalesce(F.col(text), F.lit("")), F.array().cast(_SPANS)
+    t, none = F.coalesce(text.cast("string"), F.lit("")), F.array().cast(_SPANS)
     low = F.lower(t)
     assign = F.lit(False)
     for key in ("password", "passwd", "secret", "token", "apikey", "api_key"):
         assign = assign | low.contains(key)
+    bare = lambda found: F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     parts = [
-        F.when(assign, _spans(t, ASSIGN, 0, 2, 6)).otherwise(none),
-        F.when(t.contains("AKIA"), _spans(t, ACCESS, 1, 0, 20)).otherwise(none),
-        F.when(t.rlike("[0-9a-f]{24}"), _spans(t, HEX, 2, 0, 24)).otherwise(none),
-        F.when(t.rlike(r"[A-Za-z0-9+/_=-]{20}"), _entropy_spans(t, window, hex_bits, mixed_bits)).otherwise(none),
+        F.when(assign, bare(_spans(t, ASSIGN, 0, 2, 6))).otherwise(none),
+        F.when(t.contains("AKIA"), bare(_spans(t, ACCESS, 1, 0, 20))).otherwise(none),
+        F.when(t.rlike("[0-9a-f]{24}"), bare(_spans(t, HEX, 2, 0, 24))).otherwise(none),
+        F.when(t.rlike(CANDIDATE.replace("20,", str(window))), bare(_entropy_spans(t, window, hex_bits, mixed_bits))).otherwise(none),
     ]
-    names = [f"_s{k}" for k in range(len(parts))]
-    return df.withColumns(dict(zip(names, parts, strict=True))).withColumn("secrets", F.array_sort(F.concat(*names))).drop(*names)
+    return F.array_sort(F.concat(*parts))
+
+
+def find(df: DataFrame, text: str = "text", out: str = "secrets", **limits: float) -> DataFrame:
+    """df with the column `out` of its spans, in place of a column of that name."""
+    return df.withColumn(out, spans(F.col(f"`{text}`"), **limits))
 
 
-def spans_string(spans: Column) -> Column:
+def spans_string(found: Column) -> Column:
     name = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", **limits: float) -> DataFrame:
-    """df with each stretch of the text that some span covers replaced by the mask; overlapping spans count once."""
-    t = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def masked(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
+    """The text with each stretch that spans (ordered by start) cover replaced by the mask; overlapping and adjacent
+    spans count once. The text is cut into chunks first, so what stands between spans is taken from chunks nearby."""
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _CHUNK), F.lit(0))
+
+    def stretch(cut: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / _CHUNK).cast("int")
+        last = F.floor((b - 1) / _CHUNK).cast("int")
+        pieces = F.transform(F.slice(cut, first + 1, F.greatest(last - first + 1, F.lit(0))), lambda c, k: _part(c, a - (first + k) * _CHUNK, b - (first + k) * _CHUNK))
+        return F.when(a < b, F.array_join(pieces, "")).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = (s["start"] > acc["at"]) | (acc["at"] == 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"))
+    def _part(c: Column, a: Column, b: Column) -> Column:
+        lo = F.greatest(a, F.lit(0))
+        return F.substr(c, lo + 1, F.least(b, F.lit(_CHUNK)) - lo)
 
-    clean = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1, F.length(t))))
-    return find(df, text, **limits).withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(t)).drop("secrets")
+    def pieces(ends: Column, cut: Column) -> Column:
+        def one(s: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.element_at(ends, F.greatest(k, F.lit(1)))).otherwise(F.lit(0))
+            return _bound(before, lambda at: F.when((k == 0) | (s["start"] > at), F.concat(stretch(cut, at, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+
+        return F.concat(F.array_join(F.transform(found, one), ""), stretch(cut, F.element_at(ends, -1), F.length(text)))
+
+    ends = _running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b), 0)
+    return F.when(F.size(found) > 0, _bound(ends, lambda e: _bound(chunks, lambda cut: pieces(e, cut)))).otherwise(text)
+
+
+def redact(df: DataFrame, text: str = "text", mask: str = "[SECRET]", **limits: float) -> DataFrame:
+    """df with the secrets in its text masked; all other columns pass by, whatever their names."""
+    name = "secrets"
+    while name in df.columns:
+        name += "_"
+    t = F.col(f"`{text}`")
+    return find(df, text, name, **limits).withColumn(text, masked(t, F.col(f"`{name}`"), mask)).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

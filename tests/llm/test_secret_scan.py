@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from pricelens.llm import secret_scan as S
 
@@ -45,7 +47,7 @@ CASES = [
 
 
 def test_like_brute_force(spark):
-    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(CASES)], "doc_id long, text string, secrets_note string")
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(CASES)], "doc_id long, text string, secrets string")
     for r in S.find(rows).collect():
         assert [(s["start"], s["kind"], s["end"]) for s in r["secrets"]] == brute(CASES[r["doc_id"]]), CASES[r["doc_id"]]
 
@@ -68,3 +70,35 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert S.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_cost_in_proportion(spark):
+    rng = random.Random(3)
+    keys = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    run = "".join(rng.choice("QWRTYPSDFGHJKZXCVBNqwrtpsdfghjkzxcvbn1234567890") for _ in range(1_000_000))
+    assert not re.search(S.ALLOW, run, re.A)
+    low = "".join(rng.choice("xy1") for _ in range(200_000))
+    many = " ".join("token=" + "".join(rng.choice(keys[:62]) for _ in range(24)) + " x" for _ in range(10_000))
+    began = time.perf_counter()
+    rows = spark.createDataFrame([(1, run), (2, low), (3, many)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["secrets"] for r in S.find(rows).collect()}
+    assert time.perf_counter() - began < 90
+    assert [tuple(s) for s in got[1]] == [(0, 3, len(run))] and not got[2]
+    assert [(s["start"], s["kind"], s["end"]) for s in got[3]] == brute(many)
+    assert S.redact(rows.filter("doc_id = 3")).first()["text"] == " ".join(["[SECRET] x"] * 10_000)
+
+
+def test_window_entropy_like_whole_recounts(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(k) for _ in range(rng.randint(20, 90))) for k in ("ab1", "abcdefgh12", "0123456789abcdef", "aB3dE6gH9", "qwertyuiop1234567890QWERTY") for _ in range(40)]
+    got = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in S.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: brute(t) for k, t in enumerate(texts)}
+
+
+def test_masks_across_chunks(spark):
+    secret = "token=Zx9Qw8Er7Ty6"
+    for gap in (0, 1, 4090, 4095, 4096, 4097, 9000):
+        text = "é" * gap + " " + secret + " " + "ß " * gap + secret
+        want = "é" * gap + " [SECRET] " + "ß " * gap + "[SECRET]"
+        df = spark.createDataFrame([(1, text, "kept", 7)], "doc_id long, text string, secrets string, n int")
+        assert tuple(S.redact(df).first()) == (1, want, "kept", 7)
