@@ -5,7 +5,8 @@ separator whose id marks their ends), and the rows' ids are gathered from them i
 cut is exact where a single white space stands between other characters, so rows with runs of white space, or white
 space other than these two, are encoded whole. The word vocabulary drops white space, so each cut is exact.
 
-Strings of special tokens inside a text count as ordinary text.
+Strings of added tokens inside a text (such as end marks) are what the library's plain call makes of them: rows that hold
+one are encoded whole.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
         self.t.no_truncation()
+        self.added = sorted({a.content for a in self.t.get_added_tokens_decoder().values()})
         self.keeps_space = len(self._ids(" ")) > 0
         self.mark = "\n" if self.keeps_space else "\x01"
         self.head = " " if self.keeps_space else ""
@@ -128,6 +129,23 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32) of all rows, one after the other, and the rows' bounds; null counts as empty."""
         column = column.cast(pa.large_string()).fill_null("")
+        marked = np.zeros(len(column), dtype=bool)
+        for content in self.added:
+            # The word vocabulary knows its added tokens in any case and width, so the test folds case too.
+            marked |= pc.match_substring(column, content, ignore_case=True).to_numpy(zero_copy_only=False).astype(bool)
+        if not marked.any():
+            return self._cut(column)
+        ids, bounds = self._cut(pc.if_else(pa.array(~marked), column, pa.scalar("", pa.large_string())))
+        own, sizes = self._whole(column.filter(pa.array(marked)).to_pylist())
+        total = np.diff(bounds)
+        total[marked] = sizes
+        out = np.empty(int(total.sum()), dtype=np.uint32)
+        theirs = np.repeat(marked, total)
+        out[theirs], out[~theirs] = own, ids
+        return out, np.concatenate([[0], np.cumsum(total)])
+
+    def _cut(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for rows (large strings) without added tokens."""
         n = len(column)
         data, offsets = flat(column)
         lo = int(offsets[0])

@@ -10,7 +10,6 @@ from pricelens.llm.tokens import tokenizer_path
 
 def tokens(text):
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -42,8 +41,8 @@ def test_query_on_table(spark, sf):
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (3, "x " * 5000), (4, "a"), (5, "word " * 1023), (6, "word " * 1022)]
-    df = spark.createDataFrame([(k, t, 9) for k, t in rows], "doc_id long, text string, length int").select("doc_id", "text")
+    rows = [(1, None), (2, ""), (3, "x " * 5000), (4, "a"), (5, "word " * 1023), (6, "word " * 1022), (7, "x<|endoftext|> y\n<|endoftext|>")]
+    df = spark.createDataFrame([(k, t, 9) for k, t in rows], "doc_id long, text string, length int")
     check(rows, P.pack(spark, df, tokenizer_path("byte_bpe_50k.json")).collect())
     assert P.pack(spark, df.limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
 

@@ -9,7 +9,6 @@ from pricelens.llm.tokens import tokenizer_path
 
 def expected(rows):
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out, at = [], 0
     for k, text in sorted(rows):
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], dtype="<u4")
@@ -24,7 +23,7 @@ def test_query_on_table(spark, sf):
 
 
 def test_edges(spark):
-    rows = [(9, None), (2, ""), (5, "Some words"), (-4, "é " * 3000), (7, " \n ")]
-    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, ids int").select("doc_id", "text")
+    rows = [(9, None), (2, ""), (5, "Some words"), (-4, "é " * 3000), (7, " \n "), (11, "a <|endoftext|>b <|STARTOFTEXT|> <|startoftext|>")]
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, start int")
     assert sorted(map(tuple, F.round_trip(spark, df, tokenizer_path("word_bpe_49k.json")).collect())) == expected([(k, t or "") for k, t in rows])
     assert F.round_trip(spark, df.limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0

@@ -20,7 +20,6 @@ def test_same_ids_as_whole_texts(name, per_string, monkeypatch):
         gap = rng.choice(["", " ", " ", " "])
         texts.append(gap.join(rng.choice(PIECES[: rng.choice([8, len(PIECES)])]) for _ in range(rng.randint(1, 12))))
     whole = Tokenizer.from_file(tokenizer_path(name))
-    whole.encode_special_tokens = True
     e = Encoder(tokenizer_path(name))
     for lo in range(0, len(texts), 400):
         part = texts[lo : lo + 400]
