@@ -8,21 +8,27 @@ row sums.
 Training uses at most about PER_LANGUAGE documents of each language, whole, taken by a hash of the text over all
 labelled rows.
 
+Whether a text is of any learned language at all is another question than of which: its evidence is the mean, over its
+letters, of the largest log probability that some language gives the letter's grams, so texts in several languages don't
+suffer. The floor lies at FLOOR of the way from the evidence of the training texts to that of the same texts with their
+letters shuffled. Texts of other scripts, and strings of letters, stay below it; a text that holds a key or two doesn't.
+
 Defined results: a text without letters (null, empty, digits) is `und` with score 0, as is every text if nothing is
-labelled; ties go to the first language in order; repeated rows get equal results; a null id isn't held out.
+labelled; ties go to the first language in order; repeated rows get equal results; a null id isn't held out; columns
+named like an output are replaced, all others pass by. Evidence of a text without letters, or without a model, is null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
 from .common import table
 from .packing import slices
@@ -30,9 +36,14 @@ from .textkernel import mix
 
 BUCKETS = 1 << 16
 PER_LANGUAGE = 5_000
+#: Languages that a model may have; the broadcast matrix takes half a megabyte for each.
+MOST = 200
 #: A score is the posterior if the text had as many grams at most, as neighbouring grams aren't independent.
 EVIDENCE = 50
 UNKNOWN = "und"
+#: Letters that a text must have before its evidence can speak against it.
+ENOUGH = 100
+FLOOR = 0.75
 BYTES = 2 << 20
 
 
@@ -44,27 +55,64 @@ def _letters() -> np.ndarray:
     return np.where(keep, np.arange(n, dtype=np.uint32), np.uint32(32))
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of the texts' letters, (n, 2): bigram's and trigram's; and the texts' bounds among them."""
+def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case letters of all texts, others as spaces, and where each text starts."""
     low = [(t or "").lower() for t in texts]
     sizes = np.array([len(t) + 1 for t in low], dtype=np.int64)
     code = np.frombuffer((" " + " ".join(low) + "  ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    code = _letters()[code].astype(np.uint64)
+    return _letters()[code], np.concatenate([[0], np.cumsum(sizes)]) + 1
+
+
+def _cells(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = code.astype(np.uint64)
     at = np.flatnonzero(code != 32)
     last, here, after = code[at - 1], code[at], code[at + 1]
     pair = (last << np.uint64(21)) | here
     cells = np.empty((len(at), 2), dtype=np.int64)
     cells[:, 0] = mix(pair + np.uint64(1)) >> np.uint64(48)
     cells[:, 1] = (mix(((pair << np.uint64(21)) | after) + np.uint64(7)) >> np.uint64(48)) + np.uint64(BUCKETS)
-    starts = np.concatenate([[0], np.cumsum(sizes)]) + 1
     return cells, np.searchsorted(at, starts)
 
 
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the texts' letters, (n, 2): bigram's and trigram's; and the texts' bounds among them."""
+    return _cells(*_codes(texts))
+
+
+def shuffled(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """grams() of the texts with the letters of all of them dealt anew over their places, by a fixed seed."""
+    code, starts = _codes(texts)
+    at = np.flatnonzero(code != 32)
+    code = code.copy()
+    code[at] = code[np.random.default_rng(len(at)).permutation(at)]
+    return _cells(code, starts)
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
     log: np.ndarray  # float32, (2 * BUCKETS, languages)
     prior: np.ndarray
+    #: Least evidence of a text of these languages; none unless calibrated.
+    floor: float | None = None
+
+    def evidence(self, cells: np.ndarray) -> np.ndarray:
+        """Of each letter: the largest log probability of its grams."""
+        best = np.full(len(cells), -np.inf, dtype=np.float32)
+        for k in range(len(self.languages)):
+            np.maximum(best, self.log[cells[:, 0], k] + self.log[cells[:, 1], k], out=best)
+        return best
+
+    def recognised(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's evidence (nan without letters or model), and whether it is text of the languages: it has letters,
+        and not ENOUGH of them with evidence below the floor. Without a model every text with letters counts."""
+        cells, bounds = grams(texts)
+        n = np.diff(bounds)
+        mean = np.full(len(texts), np.nan)
+        if self.languages and (n > 0).any():
+            mean[n > 0] = np.add.reduceat(self.evidence(cells).astype(np.float64), bounds[:-1][n > 0]) / n[n > 0]
+        low = (n >= ENOUGH) & (mean < self.floor) if self.floor is not None else np.zeros(len(texts), dtype=bool)
+        return mean, (n > 0) & ~low
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         cells, bounds = grams(texts)
@@ -84,16 +132,38 @@ class Model:
         return [self.languages[b] if f else UNKNOWN for b, f in zip(best, full, strict=True)], np.where(full, score, 0.0)
 
 
+def _known(df: DataFrame) -> DataFrame:
+    return df.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+
+
+def _sizes(known: DataFrame, most: int = MOST) -> dict[str, int]:
+    """Rows of each language. More than `most` languages are refused, as the matrix grows with them."""
+    rows = known.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} languages are labelled")
+    return {r["lang"]: r["n"] for r in rows}
+
+
+def _drawn(known: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))])
+    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    return known.filter(draw < F.element_at(share, F.col("lang")))
+
+
+def _picked(df: DataFrame, per_language: int) -> DataFrame | None:
+    known = _known(df)
+    sizes = _sizes(known)
+    return _drawn(known, sizes, per_language) if sizes else None
+
+
 def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """The model of the labelled rows of (text, lang). Counts are summed by Spark; the driver gets the summed cells,
     2 * BUCKETS a language at most."""
-    known = df.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = _known(df)
+    sizes = _sizes(known)
     if not sizes:
         return Model((), np.zeros((2 * BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))])
-    draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
-    picked = known.filter(draw < F.element_at(share, F.col("lang")))
+    picked = _drawn(known, sizes, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -123,21 +193,69 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, log.astype(np.float32), np.log(n / n.sum()))
 
 
+def calibrated(df: DataFrame, model: Model, per_language: int = PER_LANGUAGE) -> Model:
+    """The model with the floor that the labelled rows of (text, lang) give it, of which at most about per_language of
+    each language are read; the driver gets sums only."""
+    if not model.languages:
+        return model
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(3)
+        for b in batches:
+            for lo, hi in slices(b.column(0), BYTES):
+                texts = b.column(0).slice(lo, hi - lo).to_pylist()
+                real, _ = grams(texts)
+                mixed, _ = shuffled(texts)
+                sums += (len(real), shared.value.evidence(real).sum(dtype=np.float64), shared.value.evidence(mixed).sum(dtype=np.float64))
+        yield pa.RecordBatch.from_pydict({"n": [sums[0]], "real": [sums[1]], "mixed": [sums[2]]})
+
+    picked = _picked(df, per_language)
+    if picked is None:
+        return model
+    r = picked.mapInArrow(add, "n double, real double, mixed double").agg(F.sum("n").alias("n"), F.sum("real").alias("real"), F.sum("mixed").alias("mixed")).first()
+    return replace(model, floor=((1 - FLOOR) * r["real"] + FLOOR * r["mixed"]) / r["n"]) if r["n"] else model
+
+
+def _with(spark: SparkSession, df: DataFrame, text: str, out: list[tuple[str, DataType, pa.DataType]], compute) -> DataFrame:
+    """df with the columns that compute(texts) gives, in place of columns of those names."""
+    keep = [f for f in df.schema.fields if f.name not in {n for n, _, _ in out}]
+    schema = StructType([*keep, *(StructField(n, t) for n, t, _ in out)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in slices(b.column(len(keep)), BYTES):
+                part = b.slice(lo, hi - lo)
+                made = compute(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(x, t) for x, (_, _, t) in zip(made, out, strict=True))], names=schema.names)
+
+    return df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{text}`").cast("string").alias("text to read")).mapInArrow(run, schema)
+
+
 def identify(spark: SparkSession, df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
     shared = spark.sparkContext.broadcast(model)
-    place = df.columns.index(text)
-    schema = StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    names = schema.names
+    out = [("lang_pred", StringType(), pa.string()), ("score", DoubleType(), pa.float64())]
+    return _with(spark, df, text, out, lambda texts: shared.value.predict(texts))
+
+
+def select_languages(spark: SparkSession, df: DataFrame, model: Model, text: str = "text", wanted: frozenset[str] | None = None) -> DataFrame:
+    """The rows of df whose text is of a learned language (Model.recognised) and, if `wanted` names languages, predicted
+    to be of one of those."""
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for b in batches:
-            for lo, hi in slices(b.column(place), BYTES):
+            for lo, hi in slices(b.column(0), BYTES):
                 part = b.slice(lo, hi - lo)
-                lang, score = shared.value.predict(part.column(place).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
+                texts = part.column(0).to_pylist()
+                keep = m.recognised(texts)[1]
+                if wanted is not None:
+                    keep &= np.array([x in wanted for x in m.predict(texts)[0]], dtype=bool)
+                yield pa.RecordBatch.from_arrays(part.columns[1:], names=df.columns).filter(pa.array(keep))
 
-    return df.mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`").cast("string").alias("text to read"), *(F.col(f"`{c}`") for c in df.columns)).mapInArrow(run, df.schema)
 
 
 def held_out(doc_id: Column) -> Column:
