@@ -23,8 +23,23 @@ def test_stages(spark, sf):
     assert {r["doc_id"] for r in packed} == set(kept["secrets"])
 
 
-def test_rejects_what_has_no_language(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(50)
-    odd = spark.createDataFrame([(10**6, "12 34 !!", "en", "s", 8), (10**6 + 1, None, None, None, None)], docs.schema)
-    got = {r["doc_id"] for r in C.languages(spark, docs.union(odd), sf).collect()}
-    assert got == {r["doc_id"] for r in docs.collect()}
+def test_language_stage(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [
+        (10**6, "12 34 !!", "en", "s", 8),
+        (10**6 + 1, None, None, None, None),
+        (10**6 + 2, "xqzv wjkpq zzvxk qjwvz " * 20, "en", "s", 1),
+        (10**6 + 3, "Съешь же ещё этих мягких французских булок " * 9, None, "s", 1),
+    ]
+    mixed = (10**6 + 4, " ".join(r["text"] for r in docs.dropDuplicates(["lang"]).collect()), None, "s", 1)
+    got = C.languages(spark, docs.union(spark.createDataFrame([*odd, mixed], docs.schema)), sf)
+    assert got.columns == docs.columns
+    assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in docs.collect()} | {mixed[0]}
+    only = C.languages(spark, docs, sf, frozenset({"de"})).groupBy("lang").count().collect()
+    assert [r["lang"] for r in only] == ["de"]
+
+
+def test_language_stage_without_labels(spark, sf):
+    docs = spark.createDataFrame([(1, "two english rows", None), (2, "without a label", None), (3, "...", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in C.languages(spark, docs, sf).collect()} == {1, 2}
+    assert C.languages(spark, docs.limit(0), sf).count() == 0
