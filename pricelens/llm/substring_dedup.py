@@ -4,24 +4,23 @@ A window is `size` consecutive words of one document; a word goes if some window
 smaller document, or earlier in the same one), judged on the input. Everything is exact but for equal 128-bit hashes of
 different windows.
 
-First pass. Two rows of a count-min sketch count windows. A window's cell is that of its minimizer, the least hash of its
-runs of `gram` words, so neighbouring windows share a cell; what is counted is each place of a minimizer once. Two places
-of a window have minimizers at two places, so a cell's count is never below the count of any of its windows. Tasks send
-the cells they touched, per block of cells, and the blocks are summed each in a task of its own, in a stream; cells
-counted twice become a bitmap of fixed size (cells / 8 bytes a row), which is broadcast.
-
-Second pass. Windows whose cells were counted twice in both rows are grouped exactly. Each chunk of rows first settles
-what it can alone: of equal windows inside it all but the first go at once, and only the first is sent on, packed by hash
-range. So a window that occurs a million times sends a row for each chunk, not each place. Ranges are settled in tasks
-of their own, part by part, and the windows found not to be first go back to their chunks as packed places.
-
-The sketch holds about cells / 10 windows' minimizers at a small error; beyond that more unique windows are grouped, and
-the result is the same.
+First pass: which windows are estimated repeated. A window is counted by its minimizer, the least hash of its runs of
+`gram` words, so neighbouring windows share a count: a run of windows with one minimizer is counted once. Two places of a
+window have minimizers at two places, so a count is never below the count of any of its windows. Each task sums its runs
+into partial count-min sketches, one for each hash range (two rows of saturated counts, only the touched cells), which
+are sent to the range's task and merged there. A run whose cells are repeated in the partial sketch already is known to
+be repeated; all other runs are looked up in the merged sketch by the task that holds it. So a very frequent passage
+sends a cell from each task, not a row for each place, no sketch is broadcast, and a sketch's size doesn't grow: the
+number of ranges does, with the bytes of text (`fill` and `density`).
+
+Second pass: the runs estimated repeated are joined to their documents, and their windows are grouped exactly, in the
+same ranges. Each task first settles what it can alone: of equal windows in its buffer all but the first are known to be
+later, and only the first is sent on. What isn't the first of its kind goes back to its document as bit masks.
 
 Defined results: null, empty and short texts lose nothing. Rows with one doc_id count as one document: a place of it is
 not earlier than the same place in its other rows, so repeated rows come out alike; should their texts differ, a place
-found to be a later one in either is taken out of both. Null ids count as one document before all others. An empty table
-gives no rows.
+found to be a later one in either is taken out of both. A row without an id has no place in the order of documents: it
+loses nothing, and nothing is later than it. Columns beside id and text aren't read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,31 +28,39 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents
 from .textkernel import CHUNK, Chunk, chunks, mix, odd, powers
 
 U64 = np.uint64
+#: Bits of a run that hold its number of windows, and those that hold its first word and that number.
+_LENGTH, _PLACE = 4, 32
+#: Rows of an output batch.
+_BATCH = 1 << 18
 
 
 @dataclass(frozen=True)
 class Settings:
-    """size: words of a window; gram: words of a minimizer's runs; cells: of each row of the sketch, and per_block of a
-    block, powers of two; ranges: hash ranges in which windows are grouped, a power of two (0: as many as shuffle
-    partitions or a little more, so that a range grows no more than a partition does); chunk: bytes of text."""
+    """size: words of a window; gram: words of a minimizer's runs; cells: of each row of a range's sketch, a power of two;
+    fill: runs that are to share a cell on average; density: runs in a byte of text (0.025 in prose); ranges: a power of
+    two (0: by the bytes of text, and no fewer than shuffle partitions); chunk: bytes of text handled at once; runs,
+    windows: held by a task before it sends; settle: windows of a range that are sorted at once."""
 
     size: int = 20
     gram: int = 8
-    cells: int = 1 << 27
-    per_block: int = 1 << 20
+    cells: int = 1 << 20
+    fill: float = 0.125
+    density: float = 0.03
     ranges: int = 0
     chunk: int = CHUNK
+    runs: int = 1 << 18
+    windows: int = 1 << 19
+    settle: int = 1 << 21
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -95,236 +102,365 @@ def _inside(c: Chunk, size: int) -> np.ndarray:
 
 
 def _cells(least: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's cell in both rows."""
     bits = U64(64 - (cells - 1).bit_length())
     return mix(least ^ U64(odd(31))) >> bits, mix(least ^ U64(odd(32))) >> bits
 
 
+def _part(h: np.ndarray, ranges: int) -> np.ndarray:
+    return (h >> U64(64 - (ranges - 1).bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(h), np.int64)
+
+
+def _spread(doc: np.ndarray, ranges: int) -> np.ndarray:
+    """A range for rows that only pass through, so that they are dealt evenly."""
+    return _part(mix(doc.view(U64)), ranges)
+
+
 def _rows(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _sketch(df: DataFrame, s: Settings) -> DataFrame:
-    """(block, cells): the touched cells of each chunk, packed by block; a cell stands there as often as it was touched."""
+def _minimizer_runs(c: Chunk, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one minimizer: first window, number of windows, the minimizer's hash."""
+    least, place = _minimizers(c.hashes(), s.size, s.gram)
+    at = np.flatnonzero(_inside(c, s.size))
+    if not len(at):
+        return at, at, np.zeros(0, U64)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = place[at[1:]] != place[at[:-1]]
+    first = np.flatnonzero(new)
+    return at[first], np.diff(first, append=len(at)), least[at[first]]
+
+
+PACKED = "part int, kind int, w binary, x binary, y binary, z binary"
+_NAMES = ["part", "kind", "w", "x", "y", "z"]
+
+
+class _Sender:
+    """Rows of PACKED: columns of values, each packed by range. Rows must come sorted by range."""
+
+    def __init__(self) -> None:
+        self.rows: list[list] = [[] for _ in _NAMES]
+
+    def add(self, kind: int, part: np.ndarray, *columns: np.ndarray) -> None:
+        cuts = _runs(part)
+        self.rows[0] += [int(part[a]) for a, _ in cuts]
+        self.rows[1] += [kind] * len(cuts)
+        for k in range(4):
+            if k < len(columns):
+                raw, width = columns[k].tobytes(), columns[k].dtype.itemsize
+                self.rows[2 + k] += [raw[a * width : b * width] for a, b in cuts]
+            else:
+                self.rows[2 + k] += [None] * len(cuts)
+
+    def batch(self) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(self.rows, types, strict=True)], names=_NAMES)
+        self.__init__()
+        return out
+
+
+class _Held:
+    """Columns of arrays, put together when they are taken."""
+
+    def __init__(self, *types: str):
+        self.types = types
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.parts = 0, [[np.zeros(0, t)] for t in self.types]
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.n += len(columns[0])
+        for own, column, t in zip(self.parts, columns, self.types, strict=True):
+            own.append(column.astype(t, copy=False))
+
+    def take(self) -> list[np.ndarray]:
+        out = [np.concatenate(p) for p in self.parts]
+        self.clear()
+        return out
+
+
+def _sum(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, whether each occurs more than once, and each key's place among them."""
+    keys, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return keys, n > 1, at
+
+
+def _sketched(df: DataFrame, s: Settings) -> DataFrame:
+    """PACKED rows of each task's buffers. Kind 0: a partial sketch (w, x: touched cells of both rows, doubled, plus 1 if
+    touched more than once); kind 1: runs to look up (doc, run, cells of both rows); kind 2: runs known to be repeated
+    (doc, run with its range), dealt evenly."""
+
+    def flushed(held: _Held, out: _Sender) -> pa.RecordBatch:
+        doc, run, h = held.take()
+        part = _part(h, s.ranges)
+        order = np.argsort(part, kind="stable")
+        doc, run, part = doc[order], run[order], part[order]
+        known = np.ones(len(doc), dtype=bool)
+        own, packed = [], []
+        for cell in _cells(h[order], s.cells):
+            cell = cell.astype(np.int64)
+            keys, twice, at = _sum(part * s.cells + cell)
+            known &= twice[at]
+            own.append(cell.astype("<u4"))
+            packed.append((keys // s.cells, (keys % s.cells * 2 + twice).astype("<u4")))
+        # Both rows' cells are sorted by range; a range has cells in both or in neither.
+        ranges = np.unique(part)
+        cuts = [np.searchsorted(p, ranges) for p, _ in packed]
+        ends = [np.append(c[1:], len(p)) for c, (p, _) in zip(cuts, packed, strict=True)]
+        for k, r in enumerate(ranges.tolist()):
+            out.rows[0].append(r)
+            out.rows[1].append(0)
+            for j in (0, 1):
+                out.rows[2 + j].append(packed[j][1][cuts[j][k] : ends[j][k]].tobytes())
+                out.rows[4 + j].append(None)
+        ask = ~known
+        out.add(1, part[ask], doc[ask].astype("<i8"), run[ask].astype("<u4"), own[0][ask], own[1][ask])
+        doc, run = doc[known], run[known].astype(np.int64) | part[known] << _PLACE
+        to = _spread(doc, s.ranges)
+        order = np.argsort(to, kind="stable")
+        out.add(2, to[order], doc[order].astype("<i8"), run[order].astype("<i8"))
+        return out.batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out = _Held("i8", "i8", "u8"), _Sender()
         for b in batches:
+            ids = b.column(0).to_numpy()
             for c in chunks(b.column(1), s.chunk):
-                least, place = _minimizers(c.hashes(), s.size, s.gram)
-                ok = _inside(c, s.size)
-                place, first = np.unique(place[ok], return_index=True)
-                out: list[tuple[int, bytes]] = []
-                for k, cell in enumerate(_cells(least[ok][first], s.cells)):
-                    cell = np.sort(cell)
-                    blocks = cell // U64(s.per_block)
-                    for x, y in _runs(blocks):
-                        out.append((k * (s.cells // s.per_block) + int(blocks[x]), (cell[x:y] % U64(s.per_block)).astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "cells"])
+                at, n, h = _minimizer_runs(c, s)
+                row = c.row[at]
+                word = at - c.bounds[row]
+                if len(word) and word.max() >> (_PLACE - _LENGTH):
+                    raise ValueError("a text has too many words")
+                held.add(ids[c.first + row], word << _LENGTH | n, h)
+                if held.n >= s.runs:
+                    yield flushed(held, out)
+        if held.n:
+            yield flushed(held, out)
 
-    return _rows(df).mapInArrow(run, "block int, cells binary")
+    return df.mapInArrow(run, PACKED)
 
 
-def _repeated(spark: SparkSession, df: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """The bitmap of each row's cells that were counted twice or more."""
+def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """Distinct documents (doc must be sorted), and a list column of each column's values."""
+    cuts = _runs(doc)
+    ends = pa.array(np.array([0, *(b for _, b in cuts)], dtype=np.int32))
+    return pa.array(doc[[a for a, _ in cuts]] if cuts else doc, pa.int64()), [pa.ListArray.from_arrays(ends, pa.array(c, pa.int64())) for c in columns]
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, counts = None, np.zeros(s.per_block, dtype=np.uint8)
-        for b in batches:
-            for block, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if block != key:
-                    if key is not None:
-                        yield done(key, counts)
-                    key, counts = block, np.zeros(s.per_block, dtype=np.uint8)
-                at, n = np.unique(np.frombuffer(cells, dtype="<u4"), return_counts=True)
-                counts[at] = np.minimum(counts[at] + np.minimum(n, 2), 2)
-        if key is not None:
-            yield done(key, counts)
-
-    def done(key: int, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"block": pa.array([key], pa.int32()), "bits": [np.packbits(counts >= 2).tobytes()]})
-
-    touched = _sketch(df, s)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    merged = touched.repartition(n, "block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    maps = np.zeros((2, s.cells // 8), dtype=np.uint8)
-    each, per = s.per_block // 8, s.cells // s.per_block
-    for r in merged.toLocalIterator(prefetchPartitions=True):  # cells / 4 bytes at most in all
-        row, at = divmod(r["block"], per)
-        maps[row, at * each : (at + 1) * each] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return maps[0], maps[1]
-
-
-def _strictly_later(doc: np.ndarray, word: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Of places sorted by hashes, document and word: those after the first place of their window."""
-    if not len(h1):
-        return np.zeros(0, dtype=bool)
-    new = np.ones(len(h1), dtype=bool)
-    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return (doc != doc[first]) | (word != word[first])
 
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    yield from zip(*(batch.column(k).to_pylist() for k in range(len(_NAMES))), strict=True)
 
-def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = at.astype(np.int64)
-    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
+def _dealt(packed: DataFrame, n: int) -> DataFrame:
+    return packed.repartition(n, "part").sortWithinPartitions("part", "kind")
 
-def _candidates(c: Chunk, s: Settings, maps: Any) -> np.ndarray:
-    """First words of the chunk's windows that the sketch estimates repeated."""
-    least, _ = _minimizers(c.hashes(), s.size, s.gram)
-    a, b = _cells(least, s.cells)
-    return np.flatnonzero(_inside(c, s.size) & _bit(maps[0], a) & _bit(maps[1], b))
 
+def _repeated(sketched: DataFrame, s: Settings, n: int) -> DataFrame:
+    """(doc_id, runs): the runs of windows that the merged sketches estimate repeated. A range's partial sketches come
+    before the runs that look it up, and its counts are forgotten after."""
 
-def _order(ids: list[int | None]) -> np.ndarray:
-    return np.array([-(1 << 63) if x is None else x for x in ids], dtype=np.int64)
+    def out(held: _Held) -> pa.RecordBatch:
+        doc, run = held.take()
+        order = np.lexsort((run, doc))
+        doc, run = doc[order], run[order]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (run[1:] != run[:-1])
+        ids, (runs,) = _by_doc(doc[new], run[new])
+        return pa.RecordBatch.from_arrays([ids, runs], names=["doc_id", "runs"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sketch, held = None, np.zeros((2, s.cells), dtype=np.uint8), _Held("i8", "i8")
+        for b in batches:
+            for part, kind, w, x, y, z in _rows_of(b):
+                if part != key:
+                    key = part
+                    sketch[:] = 0
+                if kind == 0:
+                    for row, cells in enumerate((w, x)):
+                        cells = np.frombuffer(cells, dtype="<u4")
+                        at = cells >> 1
+                        sketch[row, at] = np.minimum(sketch[row, at] + 1 + (cells & 1), 2)
+                    continue
+                doc = np.frombuffer(w, dtype="<i8")
+                if kind == 2:
+                    held.add(doc, np.frombuffer(x, dtype="<i8"))
+                else:
+                    hit = (sketch[0, np.frombuffer(y, dtype="<u4")] > 1) & (sketch[1, np.frombuffer(z, dtype="<u4")] > 1)
+                    held.add(doc[hit], np.frombuffer(x, dtype="<u4")[hit].astype(np.int64) | part << _PLACE)
+                if held.n >= _BATCH:
+                    yield out(held)
+        if held.n:
+            yield out(held)
+
+    found = _dealt(sketched, n).mapInArrow(run, "doc_id long, runs array<long>")
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def _strictly_later(doc: np.ndarray, word: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of places sorted by hashes, document and word: those that are the first of their window, and those after that
+    place."""
+    new = np.ones(len(h1), dtype=bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h1) else np.zeros(0, np.int64)
+    return new, (doc != doc[first]) | (word != word[first])
 
-LEADS = "part int, doc binary, word binary, h1 binary, h2 binary"
 
+def _leads(open_: DataFrame, s: Settings) -> DataFrame:
+    """PACKED rows of (doc_id, text, runs). Kind 0: for each buffer and range, the distinct windows with the first place of
+    each (doc, word, both hashes), in the order of the hashes; kind 1: places known to be later ones (doc, word), dealt
+    evenly."""
 
-def _leads(df: DataFrame, s: Settings, maps: Any) -> DataFrame:
-    """For each chunk and hash range, the range's distinct candidate windows with the first place of each in the chunk:
-    document, first word and both hashes, packed in the order of the hashes."""
+    def flushed(held: _Held, out: _Sender) -> pa.RecordBatch:
+        part, doc, word, h1, h2 = held.take()
+        order = np.lexsort((word, doc, h2, h1))
+        part, doc, word, h1, h2 = part[order], doc[order], word[order], h1[order], h2[order]
+        first, late = _strictly_later(doc, word, h1, h2)
+        lead = np.flatnonzero(first)
+        lead = lead[np.argsort(part[lead], kind="stable")]
+        out.add(0, part[lead], doc[lead].astype("<i8"), word[lead].astype("<u4"), h1[lead].astype("<u8"), h2[lead].astype("<u8"))
+        doc, word = doc[late], word[late]
+        to = _spread(doc, s.ranges)
+        order = np.argsort(to, kind="stable")
+        out.add(1, to[order], doc[order].astype("<i8"), word[order].astype("<u4"))
+        return out.batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(1), s.chunk):
-                at = _candidates(c, s, maps.value)
+        held, out = _Held("i8", "i8", "i8", "u8", "u8"), _Sender()
+        for b in batches:
+            ids, lists = b.column(0).to_numpy(), b.column(2)
+            bounds, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            for c in chunks(b.column(1), s.chunk):
+                lo, hi = bounds[c.first], bounds[c.last]
+                own = values[lo:hi]
+                n = own & ((1 << _LENGTH) - 1)
+                row = np.repeat(np.arange(c.last - c.first), np.diff(bounds[c.first : c.last + 1]))
+                at = c.bounds[row] + (own >> _LENGTH & ((1 << (_PLACE - _LENGTH)) - 1))
+                ends = np.cumsum(n)
+                at = np.repeat(at - (ends - n), n) + np.arange(int(n.sum()))
+                row, part = np.repeat(row, n), np.repeat(own >> _PLACE, n)
+                there = at + s.size <= c.bounds[1:][row]  # not so only where rows of one id differ
+                at, pick = np.unique(at[there], return_index=True)
                 if not len(at):
                     continue
-                wh = c.hashes()
-                h1 = _windows(wh, s.size, 41)[at]
-                h2 = _windows(c.hashes(seed=2), s.size, 42)[at]
-                doc = _order(batch.column(0).slice(c.first, c.last - c.first).to_pylist())[c.row[at]]
-                word = (at - c.bounds[c.row[at]]).astype(np.int64)
-                keep = np.lexsort((word, doc, h2, h1))
-                h1, h2, doc, word = h1[keep], h2[keep], doc[keep], word[keep]
-                new = np.ones(len(h1), dtype=bool)
-                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-                h1, h2, doc, word = h1[new], h2[new], doc[new], word[new]
-                part = (h1 >> U64(64 - (s.ranges - 1).bit_length())).astype(np.int64)
-                cut = np.searchsorted(part, np.arange(s.ranges + 1))
-                rows = [(p, x, y) for p, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-                pack = lambda a, kind: pa.array([a[x:y].astype(kind).tobytes() for _, x, y in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in rows], pa.int32()), pack(doc, "<i8"), pack(word, "<u4"), pack(h1, "<u8"), pack(h2, "<u8")], names=["part", "doc", "word", "h1", "h2"])
-
-    return _rows(df).mapInArrow(run, LEADS)
-
-
-def _later(leads: DataFrame, n: int) -> DataFrame:
-    """(doc_id, words): windows that aren't the first of their kind, packed first words by document.
-
-    A range's places are held in numpy, a few bytes for each chunk's distinct window; ranges get smaller with `ranges`."""
-
-    def settle(parts: list[tuple[bytes, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        doc, word, h1, h2 = (np.concatenate([np.frombuffer(p[k], dtype=t) for p in parts]) for k, t in enumerate(("<i8", "<u4", "<u8", "<u8")))
-        order = np.lexsort((word, doc, h2, h1))
-        doc, word, h1, h2 = doc[order], word[order], h1[order], h2[order]
-        again = _strictly_later(doc, word, h1, h2)
-        return doc[again], word[again]
-
-    def out(doc: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+                row, part = row[there][pick], part[there][pick]
+                h1, h2 = _windows(c.hashes(), s.size, 41)[at], _windows(c.hashes(seed=2), s.size, 42)[at]
+                held.add(part, ids[c.first + row], at - c.bounds[row], h1, h2)
+                if held.n >= s.windows:
+                    yield flushed(held, out)
+        if held.n:
+            yield flushed(held, out)
+
+    return open_.select("doc_id", "text", "runs").mapInArrow(run, PACKED)
+
+
+def _later(leads: DataFrame, s: Settings, n: int) -> DataFrame:
+    """(doc_id, at, masks): windows that aren't the first of their kind, as first words (multiples of 64) and masks of the 64
+    words from there. A range is sorted in slices of its hashes, about s.settle windows at once."""
+
+    def settled(rows: list[tuple[bytes, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        packs = [[np.frombuffer(x, dtype=t) for x, t in zip(r, ("<i8", "<u4", "<u8", "<u8"), strict=True)] for r in rows]
+        bits = max(0, (sum(len(p[0]) for p in packs) - 1) // s.settle).bit_length()
+        for k in range(1 << bits):
+            step = 1 << (64 - bits)
+            lo, hi = U64(k * step), U64((k + 1) * step - 1)
+            own = [(np.searchsorted(p[2], lo), np.searchsorted(p[2], hi, side="right")) for p in packs]
+            doc, word, h1, h2 = (np.concatenate([p[j][a:b] for p, (a, b) in zip(packs, own, strict=True)]) for j in range(4))
+            order = np.lexsort((word, doc, h2, h1))
+            doc, word = doc[order], word[order].astype(np.int64)
+            _, late = _strictly_later(doc, word, h1[order], h2[order])
+            yield doc[late], word[late]
+
+    def out(held: _Held) -> pa.RecordBatch:
+        doc, word = held.take()
         order = np.lexsort((word, doc))
         doc, word = doc[order], word[order]
-        runs = _runs(doc)
-        return pa.RecordBatch.from_arrays([pa.array([doc[x] for x, _ in runs], pa.int64()), pa.array([word[x:y].astype("<u4").tobytes() for x, y in runs], pa.binary())], names=["doc_id", "words"])
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] >> 6 != word[:-1] >> 6)
+        first = np.flatnonzero(new)
+        masks = np.bitwise_or.reduceat(U64(1) << (word & 63).astype(U64), first)
+        ids, lists = _by_doc(doc[first], word[first] >> 6 << 6, masks.view(np.int64))
+        return pa.RecordBatch.from_arrays([ids, *lists], names=["doc_id", "at", "masks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, rows, held = None, [], _Held("i8", "i8")
         for b in batches:
-            for part, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if part != key and held:
-                    yield out(*settle(held))
-                    held = []
-                key = part
-                held.append(row)
-        if held:
-            yield out(*settle(held))
-
-    return leads.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "doc_id long, words binary")
+            for part, kind, *columns in _rows_of(b):
+                if part != key:
+                    for found in settled(rows) if rows else ():
+                        held.add(*found)
+                    key, rows = part, []
+                if kind == 0:
+                    rows.append(columns)
+                else:
+                    held.add(np.frombuffer(columns[0], dtype="<i8"), np.frombuffer(columns[1], dtype="<u4"))
+                if held.n >= _BATCH:
+                    yield out(held)
+        for found in settled(rows) if rows else ():
+            held.add(*found)
+        if held.n:
+            yield out(held)
+
+    found = _dealt(leads, n).mapInArrow(run, "doc_id long, at array<long>, masks array<long>")
+    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("masks")).alias("masks"))
 
 
 def _kept(text: str | None, later: np.ndarray, size: int) -> tuple[int, int, bytes]:
+    """Words, words taken out, and what is left, for windows that start at `later` (all inside the text)."""
     words = (text or "").encode().split()
+    later = later[later + size <= len(words)]
     if not len(later):
         return len(words), 0, b" ".join(words)
     gone = np.zeros(len(words) + 1, dtype=np.int32)
     np.add.at(gone, later, 1)
-    np.add.at(gone, np.minimum(later + size, len(words)), -1)
+    np.add.at(gone, later + size, -1)
     keep = np.cumsum(gone[:-1]) == 0
     return len(words), int(len(words) - keep.sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
 
 
-SCHEMA = "doc_id long, n_words long, n_removed long, kept binary"
-
-
-def _settled(df: DataFrame, s: Settings, maps: Any) -> DataFrame:
-    """Documents without candidates come out finished (kept, no text); the others with their text and the windows that
-    their own chunk knows to be later ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in chunks(batch.column(1), s.chunk):
-                at = _candidates(c, s, maps.value)
-                n = c.last - c.first
-                ids = batch.column(0).slice(c.first, n)
-                texts = batch.column(1).slice(c.first, n).to_pylist()
-                has = np.zeros(n, dtype=bool)
-                has[c.row[at]] = True
-                own: dict[int, bytes] = {}
-                if len(at):
-                    doc = _order(ids.to_pylist())[c.row[at]]
-                    h1, h2 = _windows(c.hashes(), s.size, 41)[at], _windows(c.hashes(seed=2), s.size, 42)[at]
-                    word = at - c.bounds[c.row[at]]
-                    order = np.lexsort((word, doc, h2, h1))
-                    again = _strictly_later(doc[order], word[order], h1[order], h2[order])
-                    late = np.sort(at[order[again]])
-                    rows = c.row[late]
-                    for x, y in _runs(rows):
-                        own[int(rows[x])] = (late[x:y] - c.bounds[rows[x]]).astype("<u4").tobytes()
-                kept = [None if h else b" ".join((t or "").encode().split()) for t, h in zip(texts, has.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array(np.diff(c.bounds).astype(np.int64)),
-                        pa.array([None if k is None else hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                        pa.array([t if h else None for t, h in zip(texts, has.tolist(), strict=True)], pa.string()),
-                        pa.array([own.get(k) for k in range(n)], pa.binary()),
-                    ],
-                    names=["doc_id", "n_words", "sha", "text", "own"],
-                )
-
-    return _rows(df).mapInArrow(run, "doc_id long, n_words long, sha string, text string, own binary")
-
-
-def _digests(rows: DataFrame, size: int) -> DataFrame:
-    """Finishes (doc_id, text, own, words: a list of packed first words)."""
+def _finished(rows: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_words, n_removed and kept of (doc_id, text, at, masks)."""
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, own, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                later = np.frombuffer(b"".join([own or b"", *(words or [])]), dtype="<u4").astype(np.int64)
-                n, gone, kept = _kept(text, later, size)
-                out.append((n, gone, hashlib.sha256(kept).hexdigest()))
-            n, gone, sha = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            out: list[list] = [[], [], []]
+            for text, at, masks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                later = none
+                if at:
+                    set_ = np.unpackbits(np.array(masks, dtype="<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    row, bit = np.nonzero(set_)
+                    later = np.unique(np.array(at)[row] + bit)
+                for column, v in zip(out, _kept(text, later, size), strict=True):
+                    column.append(v)
+            n, gone, kept = out
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return rows.select("doc_id", "text", "at", "masks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
 
-    return rows.select("doc_id", "text", "own", "words").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+def settings(df: DataFrame, s: Settings) -> tuple[Settings, int]:
+    """s with its ranges, and the number of partitions that they are dealt to, by the bytes of text."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = max(n, int(size * s.density / (s.fill * s.cells)) + 1)
+    return replace(s, ranges=s.ranges or 1 << (wanted - 1).bit_length()), max(n, size // (128 << 20) + 1)
 
 
 def dedup(spark: SparkSession, df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row of (doc_id, text)."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = replace(s, ranges=s.ranges or max(64, 1 << (n - 1).bit_length()))
-    maps = spark.sparkContext.broadcast(_repeated(spark, df, s))
-    later = written(spark, _later(_leads(df, s, maps), n), "later")
-    state = _settled(df, s, maps)
-    done = state.filter("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    lists = later.groupBy("doc_id").agg(F.collect_list("words").alias("words"))
-    open_ = state.filter("text IS NOT NULL").select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text", "own")
-    rest = open_.join(lists.withColumnRenamed("doc_id", "key"), "key", "left")
-    return done.union(_digests(rest, s.size))
+    if not s.gram <= s.size < s.gram + (1 << _LENGTH) - 1:
+        raise ValueError("a window must hold a minimizer's run, and few of them")
+    rows = _rows(df)
+    s, n = settings(rows, s)
+    # Both joins read one exchange of the documents.
+    known = rows.filter("doc_id IS NOT NULL")
+    repeated = _repeated(_sketched(known, s), s, n)
+    later = _later(_leads(known.join(repeated, "doc_id"), s), s, n)
+    none = F.lit(None).cast("array<long>")
+    rest = rows.filter("doc_id IS NULL").select("doc_id", "text", none.alias("at"), none.alias("masks"))
+    return _finished(known.join(later, "doc_id", "left").unionByName(rest), s.size)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def brute(rows):
 
 
 def run(spark, rows, parts=3, **settings):
-    df = spark.createDataFrame([(k, t, "q") for k, t in rows], "doc_id long, text string, words string").select("doc_id", "text").repartition(parts)
+    df = spark.createDataFrame([(k, t, "q") for k, t in rows], "doc_id long, text string, n_words string").repartition(parts)
     return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in S.dedup(spark, df, S.Settings(**settings)).collect()}
 
 
@@ -53,14 +53,40 @@ def test_like_brute_force(spark, chunk):
 
 def test_small_sketch_changes_nothing(spark):
     rows = sample(2)
-    assert run(spark, rows, cells=1 << 8, per_block=1 << 5, ranges=4, chunk=500) == brute(rows)
+    # Four ranges of 64 cells for thousands of runs: nearly every window goes to the exact pass.
+    assert run(spark, rows, cells=1 << 6, ranges=4, chunk=500) == brute(rows)
+
+
+def test_small_buffers_and_slices_change_nothing(spark):
+    rows = sample(4)
+    assert run(spark, rows, chunk=300, runs=20, windows=30, settle=50, ranges=8) == brute(rows)
+
+
+def test_one_passage_in_every_document(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join([f"u{k}x{rng.random()}", passage, *(f"v{k}x{j}" for j in range(rng.randint(0, 30)))])) for k in range(400)]
+    assert run(spark, rows, parts=7, chunk=2000, runs=100, windows=100) == brute(rows)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "a b c d e " * 60_000), (2, " ".join(f"w{k % 90_001}" for k in range(150_000))), (3, "x" * 400_000)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(25))
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in S.dedup(spark, df).collect())
+    # Both rows of 2 lose the places at which either holds a later window; b's own places 0 to 24 are among a's.
+    assert got == [(1, 50, 0), (2, 25, 25), (2, 50, 50), (3, 25, 25)]
 
 
 def test_repeated_rows(spark):
     rows = [(1, "a b " * 15), (1, "a b " * 15), (2, "a b " * 15), (None, "c " * 30), (None, "c " * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in S.dedup(spark, df).collect())
-    assert got == [(0, 29), (0, 29), (1, 28), (1, 28), (2, 30)]
+    assert got == [(0, 0), (0, 0), (1, 28), (1, 28), (2, 30)]
 
 
 def test_query_on_table(spark, sf):
