@@ -2,10 +2,10 @@
 
 1. Each text becomes the set of its distinct word shingles (64-bit hashes), and the set K minima. Bands of R minima make
    bucket keys; of each minimum the low B bits are kept, packed into longs. Texts with equal sets (128-bit digest) form
-   one class; only its smallest document goes on, so copies are never paired.
-2. In every bucket all members are held against the bucket's smallest document. Pairs whose collision-corrected estimate
+   one class; only one row of it goes on, so copies are never paired.
+2. In every bucket all members are held against the bucket's first class. Pairs whose collision-corrected estimate
    (equal B-bit fields, by xor and bit counts) is too low go; the rest are confirmed on full sets. The links found give
-   components.
+   components. Nodes are classes, not ids, so an id that stands beside several texts joins what each of them is like.
 3. In buckets that still hold several components all pairs from different components are estimated in blocks; a spanning
    forest of those that are likely, at most a row for each member, gives clusters. In clusters of several components all
    full sets are intersected, in blocks, and a spanning forest of the links comes out. So pairs are compared where that
@@ -16,8 +16,9 @@ With R = 5, K = 160 a pair at similarity 0.8 shares no bucket with probability (
 more than 5.5 standard deviations below 0.8 where it is refused.
 
 Defined results: a text without words (null, empty, white space) has an empty set and is linked with nothing; a text
-with fewer words than a shingle has its whole sequence as its only shingle; repeated rows give equal rows; rows with a
-null id keep a null component; other columns pass by.
+with fewer words than a shingle has its whole sequence as its only shingle; repeated rows give equal rows; rows of one id
+with different texts are one document that is linked with all that either is like; rows with a null id keep a null
+component; columns beside id and text aren't read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PERCENT = 80
 LEAST_ESTIMATE = 0.62
 #: Rows of a block of a bucket (signatures) and of a cluster (texts); a task holds two blocks at a time.
 BUCKET_ROWS, CLUSTER_ROWS = 1024, 256
+#: Parts in which the rows of one bucket or cluster meet its size.
+SALTS = 16
 
 _A = np.array([odd(1000 + k) & 0xFFFFFFFF for k in range(K)], dtype=np.uint32)
 _X = np.array([odd(5000 + k) >> 32 for k in range(K)], dtype=np.uint32)
@@ -86,7 +89,7 @@ def _bands(m: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(1, K // R + 1, dtype=U64) * U64(odd(3))).view(np.int64)
 
 
-SIGNATURES = "doc_id long, n_shingles long, c1 long, c2 long, sig array<long>, bands array<long>"
+SIGNATURES = "doc_id long, text_hash long, n_shingles long, c1 long, c2 long, sig array<long>, bands array<long>"
 
 
 def _lists(a: np.ndarray, valid: np.ndarray) -> pa.Array:
@@ -96,12 +99,12 @@ def _lists(a: np.ndarray, valid: np.ndarray) -> pa.Array:
 
 
 def signatures(df: DataFrame, shingle: int) -> DataFrame:
-    """One row per row of (doc_id, text); c1 and c2 are the set's digest, null for an empty set."""
+    """One row per row of (doc_id, text); c1 and c2 are the set's digest, null for an empty set; text_hash tells rows of one
+    id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            for c in chunks(b.column(1)):
+            for c in chunks(b.column(2)):
                 values, bounds = shingle_sets(c, shingle)
                 sizes = np.diff(bounds)
                 full = sizes > 0
@@ -114,11 +117,16 @@ def signatures(df: DataFrame, shingle: int) -> DataFrame:
                         v[full] = np.add.reduceat(mix(values + U64(odd(salt))), starts[:-1])
                     digest.append(pa.array(mix(v + sizes.astype(U64)).view(np.int64), mask=~full))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(c.first, c.last - c.first), pa.array(sizes), *digest, _lists(_packed(m), full), _lists(_bands(m), full)],
-                    names=["doc_id", "n_shingles", "c1", "c2", "sig", "bands"],
+                    [*(b.column(k).slice(c.first, c.last - c.first) for k in (0, 1)), pa.array(sizes), *digest, _lists(_packed(m), full), _lists(_bands(m), full)],
+                    names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig", "bands"],
                 )
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNATURES)
+    return _rows(df).mapInArrow(run, SIGNATURES)
+
+
+def _rows(df: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return df.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -137,11 +145,10 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - apart / K - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    texts = df.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a")
-    both = left.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes of (node, text) whose full shingle sets have 100 * intersection >= percent * union."""
+    left = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a")
+    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,13 +175,17 @@ def confirmed(pairs: DataFrame, df: DataFrame, shingle: int, percent: int) -> Da
 
 
 def _split(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """rows with i and j: pairs of blocks of a key's rows, so that any two rows of a key meet in some (key, i, j). A key
-    of up to `most` rows is one block; others are dealt by a hash into blocks of about so many."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
-    own = rows.join(sizes, key).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    """The rows (node, component) of keys that hold several components, with i and j: pairs of blocks of a key's rows, so
+    that any two rows of a key meet in some (key, i, j). A key of up to `most` rows is one block; others are dealt by a
+    hash into blocks of about so many. Sizes are summed before they are shuffled, and a large key's rows meet its size in
+    SALTS parts."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    salted = sizes.filter("lo < hi").select(key, "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    own = own.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
     pair = own.withColumn("other", other)
-    return pair.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n")
+    return pair.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "n", "mine")
 
 
 class _Forest:
@@ -262,7 +273,7 @@ def _by_block(rows: DataFrame, key: str, columns: list[str], settle) -> DataFram
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            ids = t.column("doc_id").to_numpy()
+            ids = t.column("node").to_numpy()
             found = settle(t) if len(t) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([min(ids[x], ids[y]) for x, y in found], pa.int64()), pa.array([max(ids[x], ids[y]) for x, y in found], pa.int64())], names=["a", "b"])
 
@@ -281,7 +292,7 @@ def _by_block(rows: DataFrame, key: str, columns: list[str], settle) -> DataFram
         if held:
             yield done()
 
-    dealt = rows.select(key, "i", "j", "doc_id", "component", *columns).repartition(n, key, "i", "j").sortWithinPartitions(key, "i", "j")
+    dealt = rows.select(key, "i", "j", "node", "component", *columns).repartition(n, key, "i", "j").sortWithinPartitions(key, "i", "j")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -289,31 +300,32 @@ def groups(spark: SparkSession, df: DataFrame, shingle: int = 5, percent: int =
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of (doc_id, text)."""
     sets = written(spark, signatures(df, shingle), "sets")
     full = sets.filter("c1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(spark, full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    members = sets.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"], "left")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi").dropDuplicates(["doc_id"])
-    texts = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sigs = reps.select("doc_id", "sig")
-
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = written(spark, buckets.join(first, "bucket"), "buckets")
-    star = shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    both = star.join(sigs.withColumnsRenamed({"doc_id": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"doc_id": "b", "sig": "sb"}), "b")
+    # A node is a class of equal sets; first is the row that stands for it.
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    classes = written(spark, full.groupBy("c1", "c2").agg(first).select("c1", "c2", "first.*").withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("node", "doc_id", "text_hash", "c1", "c2")
+    sigs = full.join(reps, ["doc_id", "text_hash", "c1", "c2"]).select("node", "sig", "bands").dropDuplicates(["node"])
+    sigs = written(spark, sigs, "signatures")
+    texts = _rows(df).join(reps.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+
+    buckets = sigs.select("node", F.explode("bands").alias("bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = written(spark, buckets.join(heads, "bucket"), "buckets")
+    sigs = sigs.select("node", "sig")
+    star = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    both = star.join(sigs.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
     likely = written(spark, both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "pairs")
     links = written(spark, confirmed(likely, texts, shingle, percent), "links")
     found = components(spark, links)
 
-    open_ = shared.select("bucket", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = open_.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    part = written(spark, _split(open_.join(mixed, "bucket", "left_semi"), "bucket", BUCKET_ROWS), "open").join(sigs, "doc_id")
+    open_ = shared.select("bucket", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    part = written(spark, _split(open_, "bucket", BUCKET_ROWS), "open").join(sigs, "node")
     width = K * B // 64
     alike = written(spark, _by_block(part, "bucket", ["sig"], lambda t: _likely(_matrix(t.column("sig"), width), t.column("component").to_numpy(), least)), "alike")
 
-    near = components(spark, alike.union(links)).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    near = near.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = near.groupBy("cluster").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("cluster")
-    dealt = written(spark, _split(near.join(several, "cluster", "left_semi"), "cluster", CLUSTER_ROWS), "clusters").join(texts, "doc_id")
+    near = components(spark, alike.union(links)).withColumnRenamed("component", "cluster")
+    near = near.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = written(spark, _split(near, "cluster", CLUSTER_ROWS), "clusters").join(texts, "node")
 
     def settle(t: pa.Table) -> list[tuple[int, int]]:
         own: list[np.ndarray] = []
@@ -323,9 +335,27 @@ def groups(spark: SparkSession, df: DataFrame, shingle: int = 5, percent: int =
         return _linked(own, t.column("component").to_numpy(), percent)
 
     links2 = written(spark, _by_block(dealt, "cluster", ["text"], settle).union(links), "links")
-    done = components(spark, links2)
-    out = members.join(done.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n_shingles").cast("long"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return _by_id(spark, sets, classes, components(spark, links2))
+
+
+def _by_id(spark: SparkSession, sets: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of sets with the smallest id of their component. Components of classes become components of ids, which
+    differ from them only where an id has rows in several classes."""
+    component = F.coalesce("component", "node")
+    nodes = classes.select("c1", "c2", "node", "doc_id").join(linked, "node", "left").select("c1", "c2", component.alias("component"), "doc_id")
+    smallest = nodes.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    # The smallest ids of the components that one id has rows in are links of their own.
+    own = sets.filter("doc_id IS NOT NULL AND c1 IS NOT NULL").select("doc_id", "c1", "c2")
+    several = own.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("lo"), F.max(F.struct("c1", "c2")).alias("hi")).filter("lo <> hi").select("doc_id")
+    labels = written(spark, nodes.join(smallest, "component").select("c1", "c2", F.col("smallest").alias("label")), "labels")
+    held = own.join(several, "doc_id", "left_semi").distinct().join(labels, ["c1", "c2"]).select("doc_id", "label").distinct()
+    bridges = written(spark, held.groupBy("doc_id").agg(F.min("label").alias("a")).join(held, "doc_id").filter("a <> label").select("a", F.col("label").alias("b")), "bridges")
+    if bridges.limit(1).count():
+        roots = components(spark, bridges).withColumnsRenamed({"node": "label", "component": "root"})
+        labels = written(spark, labels.join(roots, "label", "left").select("c1", "c2", F.coalesce("root", "label").alias("label")), "labels")
+    out = sets.select("doc_id", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"], "left")
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:

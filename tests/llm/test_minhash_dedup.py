@@ -34,7 +34,7 @@ def brute(rows, n, percent=80):
 
 
 def run(spark, rows, n):
-    df = spark.createDataFrame([(k, t, "z", 7) for k, t in rows], "doc_id long, text string, component string, a int").select("doc_id", "text")
+    df = spark.createDataFrame([(k, t, "z", 7) for k, t in rows], "doc_id long, text string, component string, node int")
     return {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in M.groups(spark, df, shingle=n).collect()}
 
 
@@ -93,5 +93,13 @@ def test_linked_like_brute_force():
     assert pairs(got) == pairs(forest)
 
 
+def test_ids_with_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a), (1, b), (3, b + " x"), (4, a + " x"), (5, "c d e"), (7, "q r s"), (6, "c d e"), (6, "q r s"), (9, "q r s"), (None, a)]
+    got = M.groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 5), (9, 5), (None, None)}
+    assert len(got) == len(rows)
+
+
 def test_empty_table(spark):
     assert run(spark, [], 2) == {}
