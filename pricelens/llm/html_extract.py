@@ -4,16 +4,19 @@ Each leaf block has features of its ancestors' tags and names (words of class, i
 its text (words, links, sentence ends); states are main and other, with weights for neighbouring states. Weights are fitted to
 labelled pages by maximum likelihood (forward-backward) with a quadratic penalty; pages are decoded by Viterbi. The
 labelled pages are made by `labelled_pages`, from a fixed seed and TRAIN_PAGES in number: layouts with menus, headers,
-sidebars, notices, adverts, forms, footers and reader comments around or inside an article.
+sidebars, notices, adverts, forms, footers, bylines and reader comments around or inside an article, and pages laid out by
+a table without names.
 
-Defined results: null, empty and text-free html gives the empty string; repeated rows give equal results; malformed html
-is read as `dom` says.
+Defined results: null, empty and text-free html gives the empty string; repeated rows and null ids give a row each;
+malformed html is read as `dom` says; columns beside page_id, url and html aren't read. Lines of date and author count
+as no text of the article.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -23,34 +26,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .dom import INLINE, Leaf, walk
+from .dom import Leaf, Node, walk
 from .packing import slices
 
-TRAIN_PAGES, PENALTY, ROUNDS = 800, 0.005, 300
+TRAIN_PAGES, PENALTY, ROUNDS = 1000, 0.005, 300
 BYTES = 4 << 20
 
 
-def features(leaf: Leaf) -> tuple[str, ...]:
-    """Names of the block's features."""
-    path = leaf.path
+def own_features(leaf: Leaf) -> set[str]:
+    """Names of the features that the leaf has beside its ancestors'."""
     out = {"bias"}
-    for e in path:
-        out.add("t:" + e.tag)
-        out.update("c:" + n for n in e.names)
-        if e.hidden:
-            out.add("hidden")
-    blocks = [e for e in path if e.tag not in INLINE]
-    if blocks:
-        out.add("o:" + blocks[-1].tag)
-        out.update("n:" + n for e in blocks[-2:] for n in e.names)
+    block = leaf.node and leaf.node.block
+    if block:
+        out.add("o:" + block.element.tag)
+        out.update("n:" + n for n in block.element.names)
+        if block.parent and block.parent.block:
+            out.update("n:" + n for n in block.parent.block.element.names)
     words = leaf.text.count(" ") + 1
     out.add("w:" + ("1" if words < 2 else "4" if words < 5 else "12" if words < 13 else "30" if words < 31 else "more"))
     share = leaf.link / len(leaf.text)
     out.add("l:" + ("0" if share == 0 else "half" if share < 0.5 else "full"))
     if leaf.text[-1] in ".!?…。":
         out.add("end")
-    if leaf.text[0] in "©":
+    if leaf.text[0] == "©" or leaf.text[:9].lower() == "copyright":
         out.add("copyright")
+    return out
+
+
+def features(leaf: Leaf) -> tuple[str, ...]:
+    """Names of the block's features."""
+    out, node = own_features(leaf), leaf.node
+    while node is not None:
+        out.update(node.new)
+        node = node.parent
     return tuple(sorted(out))
 
 
@@ -60,6 +68,7 @@ _TOPS = ("nav", "header", "div.header", "div.topbar", "div.menu", "ul.menu", "di
 _SIDES = ("aside", "div.sidebar", "div.widget", "div.related", "section.related", "div.recommended", "div.share", "div.social", "div.tags", "div.toc")
 _NOTES = ("div.notice", "div.cookie", "div.banner", "div.consent", "div.alert", "div.popup", "div.modal", "p.notice", "div.disclaimer", "div.newsletter", "div.subscribe", "div.paywall")
 _ADS = ("div.ad", "div.ads", "div.advert", "div.advertisement", "aside.ad", "div.sponsored", "div.promo", "ins.ad", "div.sponsor", "section.promo")
+_METAS = ("div.meta", "p.byline", "div.byline", "time", "p.date", "div.author", "span.timestamp", "div.entry-meta", "p.post-info", "div.subtitle", "div.tagline", "div#siteSub")
 _FORMS = ("form", "form.search", "div.search", "form.login", "form.newsletter")
 _COMMENTS = ("section.comments", "div.comments", "div.comment", "ol.commentlist", "ul.comments", "div.discussion", "div.replies", "section.comment")
 _FEET = ("footer", "div.footer", "div.copyright", "div.bottom", "footer.footer")
@@ -69,8 +78,8 @@ _BODIES = ("article", "main", "main article", "div.content", "div.article", "div
 def _open(kind: str) -> tuple[str, str]:
     start, end = "", ""
     for one in kind.split():
-        tag, _, name = one.partition(".")
-        start += f'<{tag} class="{name}">' if name else f"<{tag}>"
+        tag, mark, name = re.match(r"(\w+)([.#]?)(.*)", one).groups()
+        start += f'<{tag} {"id" if mark == "#" else "class"}="{name}">' if name else f"<{tag}>"
         end = f"</{tag}>" + end
     return start, end
 
@@ -109,10 +118,26 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[list[Leaf], list[in
         said = "".join(rng.choice((f"<p>{_prose(rng, 3, 40)}</p>", f'<div class="comment"><span class="author">{_prose(rng, 1, 2, "")}</span><p>{_prose(rng, 4, 40)}</p></div>', f"<li>{_prose(rng, 4, 30)}</li>")) for _ in range(rng.randint(1, 5)))
         return other(_COMMENTS, (f"<h3>{_prose(rng, 1, 3, '')}</h3>" if rng.random() < 0.5 else "") + said)
 
+    def meta() -> str:
+        a, b = _open(rng.choice(_METAS))
+        return a + rng.choice((_prose(rng, 1, 5, ""), f"{rng.randint(1, 28)} {_prose(rng, 1, 1, '')} {rng.randint(1990, 2030)}", f'<a href="/u">{_prose(rng, 1, 2, "")}</a>, {rng.randint(1, 28)}.{rng.randint(1, 12)}.')) + b
+
+    def bare_table() -> str:
+        """A page laid out by a table without names: links beside the text, and a line at the end."""
+        links = "".join(f'<a href="/x">{_prose(rng, 1, 3, "")}</a>{rng.choice(("<br>", " | ", "<p>"))}' for _ in range(rng.randint(2, 9)))
+        side = f"<td>{links}</td>"
+        text = "".join(f"<p>{mark}{_prose(rng, 8, 90)}" + rng.choice(("</p>", "")) for _ in range(rng.randint(1, 8)))
+        title = rng.choice((f"<h1>{mark}{_prose(rng, 2, 9, '')}</h1>", f"<h2>{mark}{_prose(rng, 2, 9, '')}</h2>", ""))
+        row = rng.choice((side, "")) + f"<td>{title}{text}</td>" + rng.choice((side, ""))
+        last = rng.choice(("", f"<tr><td>{rng.choice(('&copy; ', 'Copyright '))}{rng.randint(1995, 2030)} {_prose(rng, 1, 5, '')}</td></tr>"))
+        return f"<table>{rng.choice((f'<tr>{side}</tr>', ''))}<tr>{row}</tr>{last}</table>"
+
     def main() -> str:
         out = []
         title = f"<h1>{mark}{_prose(rng, 2, 10, rng.choice(('', '.')))}</h1>"
         out.append(rng.choice((title, title, f"<header>{title}</header>")))
+        if rng.random() < 0.15:
+            out.insert(rng.randint(0, 1), meta())
         for _ in range(rng.randint(0, 12)):
             kind = rng.random()
             if kind < 0.6:
@@ -148,6 +173,10 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[list[Leaf], list[in
         return "".join(out)
 
     for _ in range(n):
+        if rng.random() < 0.08:
+            page = "<html><body>" + rng.choice((bare_table(), other(_TOPS) + bare_table()))
+            yield _labelled(page, mark)
+            continue
         parts = [other(_TOPS) for _ in range(rng.randint(0, 2))]
         parts += [other(rng.choice((_ADS, _NOTES, _SIDES))) for _ in range(rng.randint(0, 2))]
         if rng.random() < 0.3:
@@ -160,11 +189,15 @@ def labelled_pages(n: int, seed: int = 17) -> Iterator[tuple[list[Leaf], list[in
         if rng.random() < 0.85:
             parts.append(other(_FEET, rng.choice(("&copy; ", "")) + _prose(rng, 1, 12)) if rng.random() < 0.7 else other(_FEET))
         page = "<html><head><title>x</title></head><body>" + rng.choice(("", '<div class="wrapper">', '<div id="page">')) + "".join(parts)
-        leaves = [x for x in walk(page) if x.ref is None]
-        labels = [int(mark in x.text) for x in leaves]
-        for x in leaves:
-            x.text = x.text.replace(mark, "")
-        yield [x for x in leaves if x.text], [y for x, y in zip(leaves, labels, strict=True) if x.text]
+        yield _labelled(page, mark)
+
+
+def _labelled(page: str, mark: str) -> tuple[list[Leaf], list[int]]:
+    leaves = [x for x in walk(page) if x.ref is None]
+    labels = [int(mark in x.text) for x in leaves]
+    for x in leaves:
+        x.text = x.text.replace(mark, "")
+    return [x for x in leaves if x.text], [y for x, y in zip(leaves, labels, strict=True) if x.text]
 
 
 # ---- the field ----
@@ -177,18 +210,33 @@ class Field:
     weights: dict[str, tuple[float, float]]
     step: tuple[tuple[float, float], tuple[float, float]]
 
+    def score(self, names: Iterable[str]) -> tuple[float, float]:
+        x = y = 0.0
+        for f in names:
+            u, v = self.weights.get(f, (0.0, 0.0))
+            x += u
+            y += v
+        return x, y
+
     def decode(self, leaves: list[Leaf]) -> list[int]:
-        """The most likely states, by Viterbi."""
-        zero = (0.0, 0.0)
+        """The most likely states, by Viterbi; of equally likely states of the last block other, of those before it main stays main. An
+        ancestor's score is added up once for all its leaves."""
+        above: dict[Node | None, tuple[float, float]] = {None: (0.0, 0.0)}
         (s00, s01), (s10, s11) = self.step
         back: list[tuple[int, int]] = []
         a = b = 0.0
         for k, leaf in enumerate(leaves):
-            x = y = 0.0
-            for f in features(leaf):
-                u, v = self.weights.get(f, zero)
-                x += u
-                y += v
+            chain, node = [], leaf.node
+            while node not in above:
+                chain.append(node)
+                node = node.parent
+            for node in reversed(chain):
+                x, y = self.score(node.new)
+                u, v = above[node.parent]
+                above[node] = (x + u, y + v)
+            x, y = self.score(sorted(own_features(leaf)))
+            u, v = above[leaf.node]
+            x, y = x + u, y + v
             if not k:
                 a, b = x, y
                 continue

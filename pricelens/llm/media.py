@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .dom import Leaf, walk
+from .dom import walk
 from .packing import slices
 
 WIDTH = 64
@@ -92,28 +92,20 @@ def feature(payload: bytes) -> str:
 def items(html: str | None) -> list[tuple[str, str, str | None]]:
     """(kind, text, digest) in page order. A figure's caption goes to its media and is no text item of its own."""
     leaves = walk(html or "")
-    figure = lambda x: next((k for k, e in enumerate(x.path) if e.tag == "figure"), None)
-    caption = lambda x: x.ref is None and any(e.tag == "figcaption" for e in x.path)
+    figure = lambda x: x.node and x.node.figure
+    caption = lambda x: x.ref is None and x.node is not None and x.node.caption
     out: list[tuple[str, str, str | None]] = []
     for k, x in enumerate(leaves):
+        near = [y for y in leaves[max(0, k - 1) : k] + leaves[k + 1 : k + 2] if figure(y) is not None and figure(y) is figure(x)]
         if x.ref is not None:
-            text = x.text
-            if (depth := figure(x)) is not None:
-                near = lambda y, d=depth, x=x: len(y.path) > d and y.path[: d + 1] == x.path[: d + 1]
-                text = _caption(leaves, k, near, caption) or text
+            # The caption after the media goes before the one that precedes it.
+            text = next((y.text for y in reversed(near) if caption(y)), x.text)
             out.append(("media", text, x.ref.removeprefix(PREFIX) if x.ref.startswith(PREFIX) else None))
-        elif not (caption(x) and figure(x) is not None and any(y.ref is not None and figure(y) is not None for y in leaves[max(0, k - 1) : k + 2])):
+        elif not (caption(x) and any(y.ref is not None for y in near)):
             out.append(("text", x.text, None))
     return out
 
 
-def _caption(leaves: list[Leaf], k: int, near, caption) -> str | None:
-    for j in (k + 1, k - 1):
-        if 0 <= j < len(leaves) and caption(leaves[j]) and near(leaves[j]):
-            return leaves[j].text
-    return None
-
-
 ITEMS = "array<struct<position:int,kind:string,text:string,digest:string>>"
 
 

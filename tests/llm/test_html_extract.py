@@ -1,5 +1,8 @@
 import html
+import math
 import re
+import time
+import tracemalloc
 from itertools import product
 
 from pricelens.llm import html_extract as H
@@ -50,6 +53,67 @@ def test_layouts():
     assert H.main_text(page, H.default_field()) == "Title First paragraph of the text. Second one, with a link inside it. One item. Two Last paragraph stands here."
 
 
+WIKI = """<body><div id="mw-page"><ul class="menu"><li><a href=/m>Main page</a><li><a href=/r>Random article</a></ul></div>
+<div id="content"><h1>Grey heron</h1><div id="siteSub">From the free encyclopedia</div><div id="toc"><ul><li><a href="#a">Range</a><li><a href="#b">Diet</a></ul></div>
+<p>The grey heron is a wading bird of the heron family, found across much of the old world.</p><h2>Range</h2>
+<p>It lives near lakes, rivers and ponds, and on the coast, where it stands still for a long time and waits for fish.</p></div>
+<div class="footer"><p>Text is available under a free licence.</p></div>"""
+BLOG = """<body><header class="header"><a href=/>My garden</a></header><div class="post"><h1>Seeds in spring</h1><p class="date">12 May 2019</p>
+<p>This year I have sown the beans much later than before, and they came up within a week.</p><p>The peas did not do as well, as the ground was wet.</p>
+<div class="comments"><h3>Comments</h3><p>Mine did well, thank you for asking.</p></div></div><aside><h3>About</h3><p>I write about plants.</p></aside><footer>My garden, 2019</footer>"""
+TABLE = """<body><table><tr><td><a href=1>Home</a><br><a href=2>News</a><br><a href=3>Contact</a></td><td><h1>The old mill</h1>
+<p>The mill stands at the end of the village and was built by three brothers, who came from the coast.<p>It was sold twice, and has been empty since the war ended.</td></tr>
+<tr><td>Copyright 2004 Village society</td></tr></table>"""
+
+
+def test_unlike_layouts():
+    field = H.default_field()
+    text = H.main_text(WIKI, field)
+    assert text.startswith("Grey heron The grey heron is a wading bird") and text.endswith("waits for fish.") and "encyclopedia" not in text and "Diet" not in text
+    assert H.main_text(BLOG, field) == "Seeds in spring This year I have sown the beans much later than before, and they came up within a week. The peas did not do as well, as the ground was wet."
+    assert H.main_text(TABLE, field) == "The old mill The mill stands at the end of the village and was built by three brothers, who came from the coast. It was sold twice, and has been empty since the war ended."
+
+
+def test_deep_and_malformed_pages_cost_in_proportion():
+    field = H.default_field()
+    pages = ["<div>x " * 60_000, "".join(f"<div class=c{k}>x " for k in range(30_000)), "<p>" + "<b>x" * 60_000 + "</i>" * 60_000, "<div>" * 30_000 + "</p></span>x" * 30_000, "<ul>" + "<li>x<div>" * 30_000]
+    for page in pages:
+        began = time.perf_counter()
+        tracemalloc.start()
+        H.main_text(page, field)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert time.perf_counter() - began < 60 and peak < 200 * len(page)
+
+
+def test_unclosed_elements_end():
+    leaves = walk("<form><select><option>x</form><p>Kept.</p><div><object><i>y</div>Also kept.<noscript>z<p>And this.</p><script>gone <p>gone")
+    assert [x.text for x in leaves] == ["Kept.", "Also kept.", "And this."]
+
+
+def test_fit_on_separable_pages():
+    """Weights fitted to pages whose blocks one feature tells apart give back the labels, and the likelihood rises."""
+    pages = [(walk(f"<nav>{k} a</nav><p>{k} b.</p><p>{k} c.</p><footer>d</footer>"), [0, 1, 1, 0]) for k in range(12)]
+
+    def likelihood(field):
+        total = 0.0
+        for leaves, labels in pages:
+            score = [field.score(H.features(x)) for x in leaves]
+            value = lambda p, score=score: sum(score[k][s] for k, s in enumerate(p)) + sum(field.step[a][b] for a, b in zip(p, p[1:], strict=False))
+            total += value(labels) - math.log(sum(math.exp(value(p)) for p in product((0, 1), repeat=len(leaves))))
+        return total
+
+    few, many = H.fit(pages, rounds=2), H.fit(pages, rounds=60)
+    assert likelihood(few) < likelihood(many) < 0
+    assert all(many.decode(leaves) == labels for leaves, labels in pages)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "u", BLOG, 1), (1, None, BLOG, 2), (1, None, BLOG, 2)], "page_id long, url string, html string, n_chars int")
+    got = H.extract(spark, df).collect()
+    assert len(got) == 3 and len({r["text"] for r in got}) == 1 and {r["page_id"] for r in got} == {None, 1}
+
+
 def test_walk_paths():
     leaves = walk("<div class='Top menu'><p>a<b>b</b>c<p>d</div>e")
     assert [x.text for x in leaves] == ["abc", "d", "e"]
