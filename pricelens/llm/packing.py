@@ -3,9 +3,9 @@
 1. Every document is tokenized once and cut into pieces; per (task, length) counts are kept, so that each piece has a
    rank among all pieces of its length without any sort of them (counts of earlier tasks by prefix sums, plus the rank
    within the task).
-2. The histogram of lengths (at most `size` counts, whatever the corpus) is packed on the driver: patterns of two and
-   three lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative least
-   squares, rounded down, and what is left is packed best-fit, longest first, many equal pieces at a time.
+2. The histogram of lengths (at most `size` counts, whatever the corpus) is packed on the driver: patterns of two to MOST
+   lengths that fill a sequence or nearly do are enumerated, their repeat counts fitted to the histogram by non-negative
+   least squares and rounded down, and what is left is packed best-fit, longest first, many equal pieces at a time.
 3. Each piece looks its rank up in the plan and gets its sequence and place.
 
 Defined results: null text counts as empty and holds only the end id; repeated rows are packed each; ids may be null or
@@ -14,6 +14,7 @@ repeat; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,9 +30,11 @@ from .textkernel import flat
 from .tokens import encoder, tokenizer_path
 
 SIZE, END = 1024, 2
-#: Step of the lengths from which patterns of three are enumerated.
-STEP = 16
-BYTES = 12 << 20
+#: Step of the lengths from which patterns of three are enumerated, and documents of a pattern.
+STEP, MOST = 16, 6
+#: Shares of the fitted repeat counts that are tried.
+SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
+BYTES = 6 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -74,34 +77,51 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def patterns(lengths: list[int], size: int, step: int = STEP) -> list[tuple[int, ...]]:
-    """Pairs of lengths that fill a sequence, and triples that do, two of them near multiples of step."""
-    there = set(lengths)
-    out = [(a, size - a) for a in lengths if size - a <= a and size - a in there]
+def patterns(lengths: list[int], size: int, step: int = STEP, most: int = MOST) -> list[tuple[int, ...]]:
+    """Patterns of two to `most` lengths that are there, tightest first: pairs that fill a sequence, triples that do, two of
+    them near multiples of step, and for each length and number of documents the one whose others share the rest evenly,
+    each as long as fits, so that some room may be left."""
+    there, ordered = set(lengths), np.array(sorted(lengths))
+    out = {(a, size - a) for a in lengths if size - a <= a and size - a in there}
     coarse = [x for x in lengths if x % step == 0 or len(lengths) <= size // step]
     for i, a in enumerate(coarse):
         for b in coarse[: i + 1]:
             c = size - a - b
             if 0 < c <= b and c in there:
-                out.append((a, b, c))
-    return out
-
-
-def fit(histogram: np.ndarray, found: list[tuple[int, ...]], sweeps: int = 60) -> np.ndarray:
-    """Repeat counts x >= 0 that make the patterns' lengths add up to the histogram in least squares, by coordinate descent."""
-    rows = [np.unique(p, return_counts=True) for p in found]
-    norm = [float((c * c).sum()) for _, c in rows]
-    x, rest = np.zeros(len(found)), histogram.astype(float).copy()
-    for _ in range(sweeps):
-        moved = 0.0
-        for k, (at, c) in enumerate(rows):
-            new = max(0.0, x[k] + float((c * rest[at]).sum()) / norm[k])
-            if new != x[k]:
-                rest[at] -= c * (new - x[k])
-                moved = max(moved, abs(new - x[k]))
-                x[k] = new
-        if moved < 0.5:
-            break
+                out.add((a, b, c))
+    for a in lengths:
+        for m in range(2, most + 1):
+            own, left = [a], size - a
+            for k in range(m - 1, 0, -1):
+                at = int(np.searchsorted(ordered, left if k == 1 else left // k, side="right")) - 1
+                if at < 0:
+                    break
+                own.append(int(ordered[at]))
+                left -= own[-1]
+            if len(own) == m:
+                out.add(tuple(sorted(own, reverse=True)))
+    return sorted(out, key=lambda p: (size - sum(p), p))
+
+
+def fit(histogram: np.ndarray, found: list[tuple[int, ...]], rounds: int = 300) -> np.ndarray:
+    """Repeat counts x >= 0 that make the patterns' lengths add up to the histogram in least squares, by accelerated
+    projected gradient steps."""
+    sizes = np.array([len(p) for p in found])
+    row, column = np.repeat(np.arange(len(found)), sizes), np.concatenate([np.array(p) for p in found])
+    made = lambda x: np.bincount(column, x[row], len(histogram))
+    back = lambda r: np.bincount(row, r[column], len(found))
+    v = np.ones(len(found))
+    for _ in range(30):
+        v = back(made(v))
+        v /= np.linalg.norm(v)
+    step = 1 / (1.05 * float(v @ back(made(v))))
+    x = y = np.zeros(len(found))
+    t, target = 1.0, histogram.astype(float)
+    for _ in range(rounds):
+        new = np.maximum(0.0, y + step * back(target - made(y)))
+        t, before = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        y = new + (before - 1) / t * (new - x)
+        x = new
     return x
 
 
@@ -135,24 +155,33 @@ def best_fit(left: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return [(kind, n) for kinds in gaps.values() for kind, n in kinds.items() if kind]
 
 
+def fitted(left: np.ndarray, found: list[tuple[int, ...]], x: np.ndarray, size: int) -> dict[tuple[int, ...], int]:
+    """The patterns, x times each (rounded down, and as far as the histogram goes), and what they leave packed best-fit."""
+    left, out = left.copy(), defaultdict(int)
+    for k in np.lexsort((np.arange(len(x)), -x)):
+        if x[k] < 1:
+            break
+        at, c = np.unique(found[k], return_counts=True)
+        n = min(int(x[k]), int((left[at] // c).min()))
+        if n > 0:
+            out[found[k]] += n
+            left[at] -= c * n
+    for kind, n in best_fit(left, size):
+        out[kind] += n
+    return out
+
+
 def plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Kinds of sequences, each a tuple of lengths, and how many there are; together they use the histogram up."""
+    """Kinds of sequences, each a tuple of lengths, and how many there are; together they use the histogram up. Of the fitted
+    counts a share is taken (SHARES, the first of equally good ones); none would be best fit alone, so it is never worse."""
     left = histogram.astype(np.int64).copy()
-    out: dict[tuple[int, ...], int] = defaultdict(int)
-    if left[size]:
-        out[(size,)] = int(left[size])
-        left[size] = 0
+    full = int(left[size])
+    left[size] = 0
     found = patterns([int(x) for x in np.flatnonzero(left)], size)
-    if found:
-        x = fit(left, found)
-        for k in np.argsort(-x, kind="stable"):
-            at, c = np.unique(found[k], return_counts=True)
-            n = min(int(x[k]), int((left[at] // c).min()))
-            if n > 0:
-                out[found[k]] += n
-                left[at] -= c * n
-    for kind, n in best_fit(left, size):
-        out[kind] += n
+    x = fit(left, found) if found else np.zeros(0)
+    out = min((fitted(left, found, share * x, size) for share in SHARES), key=lambda kinds: sum(kinds.values()))
+    if full:
+        out[(size,)] += full
     return sorted(out.items())
 
 

@@ -63,3 +63,35 @@ def test_plan_uses_histogram_up():
         least = -(-int((np.arange(1025) * h).sum()) // 1024)
         halves = int(h[513:].sum())
         assert sum(n for _, n in kinds) <= max(least, halves) * 1.02 + 1
+
+
+def test_patterns_fill_and_fit():
+    rng = np.random.default_rng(4)
+    lengths = sorted(set(rng.integers(1, 1024, 300).tolist()))
+    found = P.patterns(lengths, 1024)
+    assert {len(p) for p in found} >= {2, 3, 4, 5, 6} and len(set(found)) == len(found)
+    assert all(sum(p) <= 1024 and set(p) <= set(lengths) for p in found)
+    x = rng.integers(0, 50, len(found)) * (rng.random(len(found)) < 0.05)
+    h = np.zeros(1025)
+    for p, n in zip(found, x, strict=True):
+        for k in p:
+            h[k] += n
+    y = P.fit(h, found)
+    made = np.zeros(1025)
+    for p, n in zip(found, y, strict=True):
+        for k in p:
+            made[k] += n
+    assert (y >= 0).all() and np.linalg.norm(made - h) < 0.05 * np.linalg.norm(h)
+
+
+def test_fitted_plan_no_worse_than_best_fit_alone():
+    rng = np.random.default_rng(8)
+    fewer = 0
+    for k in range(12):
+        h = np.zeros(1025, dtype=np.int64)
+        np.add.at(h, np.clip((rng.gamma(2, 40 * (k + 1), 20_000)).astype(int), 1, 1023), 1)
+        alone = sum(n for _, n in P.best_fit(h, 1024))
+        own = sum(n for _, n in P.plan(h))
+        assert own <= alone
+        fewer += own < alone
+    assert fewer
