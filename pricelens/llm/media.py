@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, StructType
 
 from .common import documents, written
 from .dom import walk
@@ -31,6 +32,8 @@ from .packing import slices
 
 WIDTH = 64
 PREFIX = "sha256:"
+#: Digests that count as hot are fewer than HOT; their references meet the facts in SALTS parts.
+HOT, SALTS = 1000, 32
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BYTES = 8 << 20
 
@@ -110,18 +113,17 @@ ITEMS = "array<struct<position:int,kind:string,text:string,digest:string>>"
 
 
 def sequences(df: DataFrame, html: str = "html") -> DataFrame:
-    """df with `items` in place of html."""
-    place = df.columns.index(html)
-    names = [*(c for c in df.columns if c != html), "items"]
+    """df with `items` in place of html, and of a column of that name."""
+    keep = [f for f in df.schema.fields if f.name not in (html, "items")]
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[{"position": k, "kind": a, "text": t, "digest": d} for k, (a, t, d) in enumerate(items(h))] for h in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != place), pa.array(found, kind)], names=names)
+            found = [[{"position": k, "kind": a, "text": t, "digest": d} for k, (a, t, d) in enumerate(items(h))] for h in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, kind)], names=[*(f.name for f in keep), "items"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != html)
-    return df.mapInArrow(run, f"{fields}, items {ITEMS}")
+    rows = df.select(*(F.col(f"`{f.name}`") for f in keep), F.col(f"`{html}`").cast("string").alias("html to read"))
+    return rows.mapInArrow(run, StructType([*keep, *StructType.fromDDL(f"items {ITEMS}").fields]))
 
 
 FACTS = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -145,9 +147,23 @@ def facts(media: DataFrame) -> DataFrame:
 
 
 def resolve(df: DataFrame, known: DataFrame) -> DataFrame:
-    """A row for each item of df, with the facts of its digest."""
-    flat = df.withColumn("item", F.explode("items")).drop("items").select("*", "item.*").drop("item")
-    return flat.join(known, "digest", "left")
+    """A row for each item of df, with the facts of its digest; columns of df named like these are replaced.
+
+    A digest of more than 1/HOT of all references (there are fewer than HOT) is looked up in SALTS parts, and items without
+    a digest, which find nothing, are dealt evenly, so neither meets in one task."""
+    names = ["position", "kind", "text", "digest", *(c for c in known.columns if c != "digest")]
+    keep = [c for c in df.columns if c not in (*names, "items")]
+    flat = df.select(*(F.col(f"`{c}`") for c in keep), F.explode("items").alias("item")).select(*(F.col(f"`{c}`") for c in keep), "item.*")
+    counts = flat.filter("digest IS NOT NULL").groupBy("digest").count()
+    counts = written(df.sparkSession, counts, "digests")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r["digest"] for r in counts.filter(F.col("count") * HOT > total).collect() if r["count"] >= SALTS]  # fewer than HOT
+    plain = [f.name for f in flat.schema.fields if isinstance(f.dataType, AtomicType)]
+    salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.when(F.col("digest").isNull(), 1 << 16).when(F.col("digest").isin(hot), SALTS).otherwise(1))
+    salts = F.when(F.col("digest").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))).cast("array<long>")
+    facts_ = known.withColumn("salt to join", F.explode(salts))
+    joined = flat.withColumn("salt to join", salt.cast("long")).join(facts_, ["digest", "salt to join"], "left")
+    return joined.select(*(F.col(f"`{c}`") for c in (*keep, *names)))
 
 
 def store(spark: SparkSession, df: DataFrame) -> DataFrame:

@@ -13,6 +13,38 @@ def test_png_round_trip(text):
     assert M.from_png(M.to_png(payload)) == payload
 
 
+def test_features_by_hand():
+    # 32 bytes 0 and 32 bytes 255: mean 127.5, variance 127.5 squared, one bit of entropy.
+    assert M.feature(bytes(32) + b"\xff" * 32) == "mean=127500;var=16256250;entropy=1000;bins=32,0,0,0,0,0,0,32"
+    assert M.feature(bytes(64)) == "mean=0;var=0;entropy=0;bins=64,0,0,0,0,0,0,0"
+    raw = bytes(range(256))
+    mean = sum(raw) / 256
+    var = sum((x - mean) ** 2 for x in raw) / 256
+    assert M.feature(raw) == f"mean={round(mean * 1000)};var={round(var * 1000)};entropy=8000;bins=" + ",".join(["32"] * 8)
+
+
+def test_standard_png_layout():
+    """The stored form by the file format's own rules: signature, header fields, and rows behind a filter byte 0."""
+    payload = bytes(range(128))
+    png = M.to_png(payload)
+    assert png[:8] == b"\x89PNG\r\n\x1a\n" and png[12:16] == b"IHDR" and int.from_bytes(png[16:20]) == 64 and int.from_bytes(png[20:24]) == 2
+    assert png[24:29] == bytes([8, 0, 0, 0, 0]) and png[-8:-4] == b"IEND"
+    at = png.index(b"IDAT")
+    rows = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at])])
+    assert rows == b"\0" + payload[:64] + b"\0" + payload[64:]
+
+
+def test_hot_digests_null_digests_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(M, "HOT", 4)
+    png = M.to_png(b"a" * 64)
+    d = hashlib.sha256(png).hexdigest()
+    html = f'<img src="sha256:{d}" alt="hot"><p>text</p>'
+    df = spark.createDataFrame([(k, html, "old", 1, 2, 3) for k in range(300)], "doc_id long, html string, items string, digest int, position int, feature int")
+    got = M.resolve(M.sequences(df), M.facts(spark.createDataFrame([(d, bytearray(png))] * 3, "digest string, media binary"))).collect()
+    assert sorted((r["doc_id"], r["position"], r["kind"], r["payload_bytes"]) for r in got) == sorted(x for k in range(300) for x in ((k, 0, "media", 64), (k, 1, "text", None)))
+    assert M.resolve(M.sequences(df.limit(0)), M.facts(spark.createDataFrame([], "digest string, media binary"))).count() == 0
+
+
 def test_damage_is_noticed():
     png = bytearray(M.to_png(b"\1" * 128))
     png[50] ^= 1
@@ -40,7 +72,7 @@ def test_sequences_stay_aligned(spark):
         (3, f'<figure><figcaption>First</figcaption><img src="sha256:{d[0]}"></figure>' * 3),
         (1, "<p>x</p>"),
     ]
-    df = M.sequences(spark.createDataFrame([(k, h, "n") for k, h in pages], "page_id long, html string, text_note string"))
+    df = M.sequences(spark.createDataFrame([(k, h, "n") for k, h in pages], "page_id long, html string, text string"))
     media = spark.createDataFrame([(d[0], bytearray(pngs[0])), (d[1], bytearray(pngs[1])), (d[0], bytearray(pngs[0]))], "digest string, media binary")
     rows = sorted((r["page_id"], r["position"], r["kind"], r["text"], r["payload_bytes"], r["payload_sha256"]) for r in M.resolve(df, M.facts(media)).collect() if r["text"] != "x")
     sha = [hashlib.sha256(bytes([k]) * 64).hexdigest() for k in (1, 2)]
