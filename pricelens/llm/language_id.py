@@ -242,7 +242,7 @@ def identify(spark: SparkSession, df: DataFrame, model: Model, text: str = "text
 def select_languages(spark: SparkSession, df: DataFrame, model: Model, text: str = "text", wanted: frozenset[str] | None = None) -> DataFrame:
     """The rows of df whose text is of a learned language (Model.recognised) and, if `wanted` names languages, predicted
     to be of one of those."""
-    shared = spark.sparkContext.broadcast(model)
+    shared, names = spark.sparkContext.broadcast(model), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -253,7 +253,7 @@ def select_languages(spark: SparkSession, df: DataFrame, model: Model, text: str
                 keep = m.recognised(texts)[1]
                 if wanted is not None:
                     keep &= np.array([x in wanted for x in m.predict(texts)[0]], dtype=bool)
-                yield pa.RecordBatch.from_arrays(part.columns[1:], names=df.columns).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(part.columns[1:], names=names).filter(pa.array(keep))
 
     return df.select(F.col(f"`{text}`").cast("string").alias("text to read"), *(F.col(f"`{c}`") for c in df.columns)).mapInArrow(run, df.schema)
 
