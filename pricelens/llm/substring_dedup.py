@@ -8,7 +8,7 @@ First pass: which windows are estimated repeated. A window is counted by its min
 `gram` words, so neighbouring windows share a count: a run of windows with one minimizer is counted once. Two places of a
 window have minimizers at two places, so a count is never below the count of any of its windows. Each task sums its runs
 into partial count-min sketches, one for each hash range (two rows of saturated counts, only the touched cells), which
-are sent to the range's task and merged there. A run whose cells are repeated in the partial sketch already is known to
+are sent to the range's task and merged there, with the runs whose cells they are. A run whose cells are repeated in the partial sketch already is known to
 be repeated; all other runs are looked up in the merged sketch by the task that holds it. So a very frequent passage
 sends a cell from each task, not a row for each place, no sketch is broadcast, and a sketch's size doesn't grow: the
 number of ranges does, with the bytes of text (`fill` and `density`).
@@ -59,8 +59,8 @@ class Settings:
     ranges: int = 0
     chunk: int = CHUNK
     runs: int = 1 << 18
-    windows: int = 1 << 19
-    settle: int = 1 << 21
+    windows: int = 1 << 18
+    settle: int = 1 << 20
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -117,7 +117,10 @@ def _spread(doc: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _rows(df: DataFrame) -> DataFrame:
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id and text. Both are expressions, not plain columns: the optimizer would drop the renaming of plain ones in some of
+    the places that read these rows and not in others, and their exchange could not be shared."""
+    doc_id = F.col("doc_id").cast("long").bitwiseOR(F.lit(0).cast("long"))
+    return df.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def _minimizer_runs(c: Chunk, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,16 +184,16 @@ class _Held:
         return out
 
 
-def _sum(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, whether each occurs more than once, and each key's place among them."""
-    keys, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-    return keys, n > 1, at
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often each occurs, and each key's place among them."""
+    each, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return each, n, at
 
 
 def _sketched(df: DataFrame, s: Settings) -> DataFrame:
-    """PACKED rows of each task's buffers. Kind 0: a partial sketch (w, x: touched cells of both rows, doubled, plus 1 if
-    touched more than once); kind 1: runs to look up (doc, run, cells of both rows); kind 2: runs known to be repeated
-    (doc, run with its range), dealt evenly."""
+    """PACKED rows of each task's buffers, a partial sketch for each range. Kinds 0 and 1: cells of the sketch's first and second
+    row touched more than once; kind 2: runs to look up (doc, run), with their cells of both rows, touched once or listed
+    in kinds 0 and 1; kind 3: runs known to be repeated (doc, run with its range), dealt evenly."""
 
     def flushed(held: _Held, out: _Sender) -> pa.RecordBatch:
         doc, run, h = held.take()
@@ -198,29 +201,19 @@ def _sketched(df: DataFrame, s: Settings) -> DataFrame:
         order = np.argsort(part, kind="stable")
         doc, run, part = doc[order], run[order], part[order]
         known = np.ones(len(doc), dtype=bool)
-        own, packed = [], []
+        cells, keys = [], []
         for cell in _cells(h[order], s.cells):
-            cell = cell.astype(np.int64)
-            keys, twice, at = _sum(part * s.cells + cell)
-            known &= twice[at]
-            own.append(cell.astype("<u4"))
-            packed.append((keys // s.cells, (keys % s.cells * 2 + twice).astype("<u4")))
-        # Both rows' cells are sorted by range; a range has cells in both or in neither.
-        ranges = np.unique(part)
-        cuts = [np.searchsorted(p, ranges) for p, _ in packed]
-        ends = [np.append(c[1:], len(p)) for c, (p, _) in zip(cuts, packed, strict=True)]
-        for k, r in enumerate(ranges.tolist()):
-            out.rows[0].append(r)
-            out.rows[1].append(0)
-            for j in (0, 1):
-                out.rows[2 + j].append(packed[j][1][cuts[j][k] : ends[j][k]].tobytes())
-                out.rows[4 + j].append(None)
+            each, n, at = _counted(part * s.cells + cell.astype(np.int64))
+            known &= (n > 1)[at]
+            cells.append(cell.astype("<u4"))
+            keys.append(each[n > 1])
+            out.add(len(keys) - 1, keys[-1] // s.cells, (keys[-1] % s.cells).astype("<u4"))
         ask = ~known
-        out.add(1, part[ask], doc[ask].astype("<i8"), run[ask].astype("<u4"), own[0][ask], own[1][ask])
+        out.add(2, part[ask], doc[ask].astype("<i8"), run[ask].astype("<u4"), cells[0][ask], cells[1][ask])
         doc, run = doc[known], run[known].astype(np.int64) | part[known] << _PLACE
         to = _spread(doc, s.ranges)
         order = np.argsort(to, kind="stable")
-        out.add(2, to[order], doc[order].astype("<i8"), run[order].astype("<i8"))
+        out.add(3, to[order], doc[order].astype("<i8"), run[order].astype("<i8"))
         return out.batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,13 +235,6 @@ def _sketched(df: DataFrame, s: Settings) -> DataFrame:
     return df.mapInArrow(run, PACKED)
 
 
-def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
-    """Distinct documents (doc must be sorted), and a list column of each column's values."""
-    cuts = _runs(doc)
-    ends = pa.array(np.array([0, *(b for _, b in cuts)], dtype=np.int32))
-    return pa.array(doc[[a for a, _ in cuts]] if cuts else doc, pa.int64()), [pa.ListArray.from_arrays(ends, pa.array(c, pa.int64())) for c in columns]
-
-
 def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
     yield from zip(*(batch.column(k).to_pylist() for k in range(len(_NAMES))), strict=True)
 
@@ -258,8 +244,8 @@ def _dealt(packed: DataFrame, n: int) -> DataFrame:
 
 
 def _repeated(sketched: DataFrame, s: Settings, n: int) -> DataFrame:
-    """(doc_id, runs): the runs of windows that the merged sketches estimate repeated. A range's partial sketches come
-    before the runs that look it up, and its counts are forgotten after."""
+    """(doc_id, runs): the runs of windows that the merged sketches estimate repeated. A range's partial sketches are summed,
+    then its runs are looked up, and its counts are forgotten."""
 
     def out(held: _Held) -> pa.RecordBatch:
         doc, run = held.take()
@@ -267,35 +253,43 @@ def _repeated(sketched: DataFrame, s: Settings, n: int) -> DataFrame:
         doc, run = doc[order], run[order]
         new = np.ones(len(doc), dtype=bool)
         new[1:] = (doc[1:] != doc[:-1]) | (run[1:] != run[:-1])
-        ids, (runs,) = _by_doc(doc[new], run[new])
-        return pa.RecordBatch.from_arrays([ids, runs], names=["doc_id", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(run[new])], names=["doc_id", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sketch, held = None, np.zeros((2, s.cells), dtype=np.uint8), _Held("i8", "i8")
+        asked: list[tuple[bytes, ...]] = []
+
+        def touch(row: int, cells: np.ndarray, n: int) -> None:
+            # Cells that stand in one list twice are in another list as touched twice.
+            sketch[row, cells] = np.minimum(sketch[row, cells] + n, 2)
+
+        def answer() -> None:
+            for doc, run, a, b in asked:
+                hit = (sketch[0, np.frombuffer(a, dtype="<u4")] > 1) & (sketch[1, np.frombuffer(b, dtype="<u4")] > 1)
+                held.add(np.frombuffer(doc, dtype="<i8")[hit], np.frombuffer(run, dtype="<u4")[hit].astype(np.int64) | key << _PLACE)
+            asked.clear()
+            sketch[:] = 0
+
         for b in batches:
             for part, kind, w, x, y, z in _rows_of(b):
                 if part != key:
+                    answer()
                     key = part
-                    sketch[:] = 0
-                if kind == 0:
-                    for row, cells in enumerate((w, x)):
-                        cells = np.frombuffer(cells, dtype="<u4")
-                        at = cells >> 1
-                        sketch[row, at] = np.minimum(sketch[row, at] + 1 + (cells & 1), 2)
-                    continue
-                doc = np.frombuffer(w, dtype="<i8")
-                if kind == 2:
-                    held.add(doc, np.frombuffer(x, dtype="<i8"))
+                if kind < 2:
+                    touch(kind, np.frombuffer(w, dtype="<u4"), 2)
+                elif kind == 2:
+                    for row, cells in enumerate((y, z)):
+                        touch(row, np.frombuffer(cells, dtype="<u4"), 1)
+                    asked.append((w, x, y, z))
                 else:
-                    hit = (sketch[0, np.frombuffer(y, dtype="<u4")] > 1) & (sketch[1, np.frombuffer(z, dtype="<u4")] > 1)
-                    held.add(doc[hit], np.frombuffer(x, dtype="<u4")[hit].astype(np.int64) | part << _PLACE)
+                    held.add(np.frombuffer(w, dtype="<i8"), np.frombuffer(x, dtype="<i8"))
                 if held.n >= _BATCH:
                     yield out(held)
+        answer()
         if held.n:
             yield out(held)
 
-    found = _dealt(sketched, n).mapInArrow(run, "doc_id long, runs array<long>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return _dealt(sketched, n).mapInArrow(run, "doc_id long, run long").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
 
 
 def _strictly_later(doc: np.ndarray, word: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,7 +303,7 @@ def _strictly_later(doc: np.ndarray, word: np.ndarray, h1: np.ndarray, h2: np.nd
 
 def _leads(open_: DataFrame, s: Settings) -> DataFrame:
     """PACKED rows of (doc_id, text, runs). Kind 0: for each buffer and range, the distinct windows with the first place of
-    each (doc, word, both hashes), in the order of the hashes; kind 1: places known to be later ones (doc, word), dealt
+    each (doc, word, both hashes), in the order of places; kind 1: places known to be later ones (doc, word), dealt
     evenly."""
 
     def flushed(held: _Held, out: _Sender) -> pa.RecordBatch:
@@ -318,7 +312,7 @@ def _leads(open_: DataFrame, s: Settings) -> DataFrame:
         part, doc, word, h1, h2 = part[order], doc[order], word[order], h1[order], h2[order]
         first, late = _strictly_later(doc, word, h1, h2)
         lead = np.flatnonzero(first)
-        lead = lead[np.argsort(part[lead], kind="stable")]
+        lead = lead[np.lexsort((word[lead], doc[lead], part[lead]))]
         out.add(0, part[lead], doc[lead].astype("<i8"), word[lead].astype("<u4"), h1[lead].astype("<u8"), h2[lead].astype("<u8"))
         doc, word = doc[late], word[late]
         to = _spread(doc, s.ranges)
@@ -356,17 +350,15 @@ def _leads(open_: DataFrame, s: Settings) -> DataFrame:
 
 
 def _later(leads: DataFrame, s: Settings, n: int) -> DataFrame:
-    """(doc_id, at, masks): windows that aren't the first of their kind, as first words (multiples of 64) and masks of the 64
-    words from there. A range is sorted in slices of its hashes, about s.settle windows at once."""
+    """(doc_id, later): windows that aren't the first of their kind, as longs: a mask of eight words below, the first of them
+    by 8 above. A range is sorted in slices of its hashes, about s.settle windows at once."""
 
     def settled(rows: list[tuple[bytes, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         packs = [[np.frombuffer(x, dtype=t) for x, t in zip(r, ("<i8", "<u4", "<u8", "<u8"), strict=True)] for r in rows]
         bits = max(0, (sum(len(p[0]) for p in packs) - 1) // s.settle).bit_length()
         for k in range(1 << bits):
-            step = 1 << (64 - bits)
-            lo, hi = U64(k * step), U64((k + 1) * step - 1)
-            own = [(np.searchsorted(p[2], lo), np.searchsorted(p[2], hi, side="right")) for p in packs]
-            doc, word, h1, h2 = (np.concatenate([p[j][a:b] for p, (a, b) in zip(packs, own, strict=True)]) for j in range(4))
+            own = [p[2] >> U64(64 - bits) == U64(k) if bits else slice(None) for p in packs]
+            doc, word, h1, h2 = (np.concatenate([p[j][x] for p, x in zip(packs, own, strict=True)]) for j in range(4))
             order = np.lexsort((word, doc, h2, h1))
             doc, word = doc[order], word[order].astype(np.int64)
             _, late = _strictly_later(doc, word, h1[order], h2[order])
@@ -377,11 +369,10 @@ def _later(leads: DataFrame, s: Settings, n: int) -> DataFrame:
         order = np.lexsort((word, doc))
         doc, word = doc[order], word[order]
         new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] >> 6 != word[:-1] >> 6)
+        new[1:] = (doc[1:] != doc[:-1]) | (word[1:] >> 3 != word[:-1] >> 3)
         first = np.flatnonzero(new)
-        masks = np.bitwise_or.reduceat(U64(1) << (word & 63).astype(U64), first)
-        ids, lists = _by_doc(doc[first], word[first] >> 6 << 6, masks.view(np.int64))
-        return pa.RecordBatch.from_arrays([ids, *lists], names=["doc_id", "at", "masks"])
+        masks = np.bitwise_or.reduceat(1 << (word & 7), first)
+        return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(word[first] >> 3 << 8 | masks)], names=["doc_id", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, held = None, [], _Held("i8", "i8")
@@ -402,8 +393,7 @@ def _later(leads: DataFrame, s: Settings, n: int) -> DataFrame:
         if held.n:
             yield out(held)
 
-    found = _dealt(leads, n).mapInArrow(run, "doc_id long, at array<long>, masks array<long>")
-    return found.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("masks")).alias("masks"))
+    return _dealt(leads, n).mapInArrow(run, "doc_id long, later long").groupBy("doc_id").agg(F.collect_list("later").alias("later"))
 
 
 def _kept(text: str | None, later: np.ndarray, size: int) -> tuple[int, int, bytes]:
@@ -420,24 +410,25 @@ def _kept(text: str | None, later: np.ndarray, size: int) -> tuple[int, int, byt
 
 
 def _finished(rows: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_words, n_removed and kept of (doc_id, text, at, masks)."""
+    """doc_id, n_words, n_removed and kept_sha256 of (doc_id, text, later)."""
     none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], []]
-            for text, at, masks in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            lists = b.column(2)
+            for k, text in enumerate(b.column(1).to_pylist()):
                 later = none
-                if at:
-                    set_ = np.unpackbits(np.array(masks, dtype="<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    row, bit = np.nonzero(set_)
-                    later = np.unique(np.array(at)[row] + bit)
+                if lists[k].is_valid:
+                    packed = lists[k].values.to_numpy()
+                    row, bit = np.nonzero(packed[:, None] >> np.arange(8) & 1)
+                    later = np.unique((packed[row] >> 8 << 3) + bit)
                 for column, v in zip(out, _kept(text, later, size), strict=True):
                     column.append(v)
             n, gone, kept = out
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "at", "masks").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("doc_id", "text", "later").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def settings(df: DataFrame, s: Settings) -> tuple[Settings, int]:
@@ -458,8 +449,7 @@ def dedup(spark: SparkSession, df: DataFrame, s: Settings = Settings()) -> DataF
     known = rows.filter("doc_id IS NOT NULL")
     repeated = _repeated(_sketched(known, s), s, n)
     later = _later(_leads(known.join(repeated, "doc_id"), s), s, n)
-    none = F.lit(None).cast("array<long>")
-    rest = rows.filter("doc_id IS NULL").select("doc_id", "text", none.alias("at"), none.alias("masks"))
+    rest = rows.filter("doc_id IS NULL").withColumn("later", F.lit(None).cast("array<long>"))
     return _finished(known.join(later, "doc_id", "left").unionByName(rest), s.size)
 
 
