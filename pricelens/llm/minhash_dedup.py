@@ -300,18 +300,18 @@ def groups(spark: SparkSession, df: DataFrame, shingle: int = 5, percent: int =
     """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of (doc_id, text)."""
     sets = written(spark, signatures(df, shingle), "sets")
     full = sets.filter("c1 IS NOT NULL AND doc_id IS NOT NULL")
-    # A node is a class of equal sets; first is the row that stands for it.
-    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    classes = written(spark, full.groupBy("c1", "c2").agg(first).select("c1", "c2", "first.*").withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = classes.select("node", "doc_id", "text_hash", "c1", "c2")
-    sigs = full.join(reps, ["doc_id", "text_hash", "c1", "c2"]).select("node", "sig", "bands").dropDuplicates(["node"])
-    sigs = written(spark, sigs, "signatures")
-    texts = _rows(df).join(reps.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
-
-    buckets = sigs.select("node", F.explode("bands").alias("bucket"))
+    # A node is a class of equal sets, which have equal signatures; first is the row that stands for it.
+    own = full.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = written(spark, own.select("c1", "c2", "first.*", "sig", "bands", F.monotonically_increasing_id().alias("node")), "classes")
+
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
     heads = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     shared = written(spark, buckets.join(heads, "bucket"), "buckets")
-    sigs = sigs.select("node", "sig")
+    sigs = classes.select("node", "sig")
+    # Only classes that share a bucket are compared by text.
+    reps = classes.select("node", "doc_id", "text_hash").join(shared.select("node").distinct(), "node", "left_semi")
+    texts = written(spark, _rows(df).join(reps, ["doc_id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+
     star = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     both = star.join(sigs.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sb"}), "b")
     likely = written(spark, both.filter(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"), "pairs")
