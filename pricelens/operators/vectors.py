@@ -64,12 +64,43 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return v, v.filter("id % 100 = 0")
 
 
+def near_links(spark: SparkSession, vectors: DataFrame, queries: DataFrame, least: float = TAU, block: int = BLOCK) -> DataFrame:
+    """(q, id): every earlier row whose similarity to a query row is `least` or more, without a limit on their number."""
+    schema = "q long, id long"
+    out = spark.createDataFrame([], schema)
+    held: list = []
+
+    def against(rows: list) -> DataFrame:
+        q = np.array([r[0] for r in rows], dtype=np.int64)
+        shared = spark.sparkContext.broadcast((q, _unit(np.array([r[1] for r in rows], dtype=np.float64))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, m = shared.value
+            for b in batches:
+                for lo in range(0, len(b), PART):
+                    part = b.slice(lo, PART)
+                    ids = part.column(0).to_numpy()
+                    v = _unit(part.column(1).flatten().to_numpy().astype(np.float64).reshape(len(part), -1))
+                    x, y = np.nonzero((np.round(m @ v.T, 9) >= least) & (ids[None, :] < q[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(q[x]), pa.array(ids[y])], names=["q", "id"])
+
+        return vectors.mapInArrow(run, schema)
+
+    for r in queries.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            out, held = out.union(against(held)), []
+    return out.union(against(held)) if held else out
+
+
 def knn_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean similarity of the 1, 5 and 25 nearest earlier rows and how many of them are near, for query rows."""
+    """Mean similarity of the 1, 5 and 25 nearest earlier rows, and how many of all earlier rows are near, for query rows."""
     v, q = _vectors(spark, sf_dir)
     n = backward_neighbours(spark, v, q)
+    near = near_links(spark, v, q).groupBy("q").agg(F.count("*").alias("near"))
     mean = lambda k: F.round(F.avg(F.when(F.col("rank") <= k, F.col("sim"))), 5)
-    return n.groupBy("q").agg(F.count("*").alias("neighbours"), mean(1).alias("sim_k1"), mean(5).alias("sim_k5"), mean(25).alias("sim_k25"), F.sum((F.col("sim") >= TAU).cast("long")).alias("near"), F.min_by("id", "rank").alias("top_id"))
+    out = n.groupBy("q").agg(F.count("*").alias("neighbours"), mean(1).alias("sim_k1"), mean(5).alias("sim_k5"), mean(25).alias("sim_k25"), F.min_by("id", "rank").alias("top_id"))
+    return out.join(near, "q", "left").withColumn("near", F.coalesce("near", F.lit(0).cast("long")))
 
 
 def hubness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,12 +248,12 @@ def mutual_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of the neighbour links that are near: smallest row reached, and size. Labels spread and jump
-    until they stand still; each round is a reliable checkpoint."""
+    """Connected components of all links of near rows, every row a query in its block: each row's smallest row reached, and the
+    component's size. Labels spread until they stand still; each round is a reliable checkpoint."""
     from ..sources.io import reliable
 
-    v, q = _vectors(spark, sf_dir)
-    near = backward_neighbours(spark, v, q).filter(F.col("sim") >= TAU).select(F.col("q").alias("a"), F.col("id").alias("b"))
+    v, _ = _vectors(spark, sf_dir)
+    near = near_links(spark, v, v).select(F.col("q").alias("a"), F.col("id").alias("b"))
     both = reliable(spark, near.union(near.select("b", "a")).distinct())
     labels = reliable(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
@@ -231,13 +262,14 @@ def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = after.select("node", "label")
         if not after.filter("old <> label").limit(1).count():
             break
-    return labels.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("size"))
+    out = v.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
 
 
 QUERIES = {
     "knn_novelty": (
         knn_novelty,
-        f"WITH {_SIMS_SQL} SELECT q, count(*) AS neighbours, round(avg(sim) FILTER (rank <= 1), 5) AS sim_k1, round(avg(sim) FILTER (rank <= 5), 5) AS sim_k5, round(avg(sim), 5) AS sim_k25, count(*) FILTER (sim >= {TAU}) AS near, arg_min(id, rank) AS top_id FROM k GROUP BY q",
+        f"WITH {_SIMS_SQL} SELECT q, count(*) AS neighbours, round(avg(sim) FILTER (rank <= 1), 5) AS sim_k1, round(avg(sim) FILTER (rank <= 5), 5) AS sim_k5, round(avg(sim), 5) AS sim_k25, any_value(near) AS near, arg_min(id, rank) AS top_id FROM k JOIN (SELECT q, count(*) FILTER (sim >= {TAU}) AS near FROM s GROUP BY q) USING (q) GROUP BY q",
     ),
     "hubness": (hubness, f"WITH {_SIMS_SQL} SELECT id, count(*) AS occurrences, CAST(min(rank) AS INT) AS best_rank FROM k GROUP BY id"),
     "combined_fields": (
@@ -247,9 +279,11 @@ SELECT id, round(u[1] / sqrt(list_dot_product(u, u)), 5) AS first, round(sqrt(li
     ),
     "linked_groups": (
         linked_groups,
-        f"""WITH RECURSIVE {_SIMS_SQL}, e AS (SELECT q AS a, id AS b FROM k WHERE sim >= {TAU} UNION SELECT id, q FROM k WHERE sim >= {TAU}),
-r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other), c AS (SELECT node, least(node, min(other)) AS component FROM r GROUP BY node)
-SELECT component, count(*) AS size FROM c GROUP BY component""",
+        f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS len FROM v),
+l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON b.id < a.id WHERE round(list_dot_product(a.e, b.e) / (a.len * b.len), 9) >= {TAU}), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other), c AS (SELECT node, least(node, min(other)) AS label FROM r GROUP BY node),
+o AS (SELECT id, coalesce(label, id) AS component FROM v LEFT JOIN c ON node = id)
+SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM o""",
     ),
     "mutual_proximity": (mutual_proximity, None),
     "kmeans_clusters": (clusters, None),
