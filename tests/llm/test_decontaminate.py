@@ -25,7 +25,7 @@ def alike(doc, item):
 
 
 def run(spark, docs, items, most=D.BLOCK):
-    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(docs)], "doc_id long, text string, item_id int").select("doc_id", "text")
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(docs)], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     return {(r["doc_id"], r["item_id"]): r["matched"] for r in D.find(spark, df, bench, most).collect()}
 
