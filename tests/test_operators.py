@@ -147,3 +147,27 @@ def test_stream(spark, tmp_path):
     streaming.run_available(spark, *args)
     rows = {(r["decile"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {(2, 2), (10, 1)}
+
+
+def test_unique_refuses_repeated_keys(spark):
+    import pytest
+
+    from pricelens.operators.robustness import unique
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
+    assert unique(rows.filter("v <> 'c'"), "k").count() == 2
+    with pytest.raises(Exception, match="repeated key in k"):
+        unique(rows, "k").collect()
+
+
+def test_near_links_like_brute_force(spark):
+    import numpy as np
+
+    from pricelens.operators import vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a in range(90) for b in range(a) if round(float(u[a] @ u[b]), 9) >= 0.5}
+    assert {(r["q"], r["id"]) for r in vectors.near_links(spark, df, df, 0.5, block=17).collect()} == want
