@@ -61,7 +61,10 @@ class Encoder:
 
         self.t = Tokenizer.from_file(path)
         self.t.no_truncation()
-        self.added = sorted({a.content for a in self.t.get_added_tokens_decoder().values()})
+        added = self.t.get_added_tokens_decoder().values()
+        if any(a.normalized or a.lstrip or a.rstrip for a in added):
+            raise ValueError("added tokens must be matched as they stand")
+        self.added = sorted({a.content for a in added})
         self.keeps_space = len(self._ids(" ")) > 0
         self.mark = "\n" if self.keeps_space else "\x01"
         self.head = " " if self.keeps_space else ""
@@ -131,8 +134,8 @@ class Encoder:
         column = column.cast(pa.large_string()).fill_null("")
         marked = np.zeros(len(column), dtype=bool)
         for content in self.added:
-            # The word vocabulary knows its added tokens in any case and width, so the test folds case too.
-            marked |= pc.match_substring(column, content, ignore_case=True).to_numpy(zero_copy_only=False).astype(bool)
+            # Added tokens are matched in the text as it stands, before it is normalized.
+            marked |= pc.match_substring(column, content).to_numpy(zero_copy_only=False).astype(bool)
         if not marked.any():
             return self._cut(column)
         ids, bounds = self._cut(pc.if_else(pa.array(~marked), column, pa.scalar("", pa.large_string())))
