@@ -11,13 +11,23 @@ from ..sources.tape import TAPE_SQL, read, seconds, tape
 DAY = 86400
 
 
-def market_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lives_of(t: DataFrame) -> DataFrame:
     """A row for each market: first and last day of trading, trades, dollars, outcome."""
-    t = tape(spark, sf_dir)
     return t.groupBy("market_id", "event", "category").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count("*").alias("n"), F.sum("usdc").alias("usd"), F.max(F.when(F.col("outcome") == "Yes", F.col("won"))).alias("won"))
 
 
+def market_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lives_of(tape(spark, sf_dir))
+
+
+def spells(t: DataFrame, days: int = 90, blocks: int = 1000) -> DataFrame:
+    """The tape with each market's trades of a block of days as a market of its own, so that some settle before others start."""
+    return t.withColumn("market_id", F.col("market_id") * blocks + F.floor(F.col("ts") / (days * DAY)))
+
+
 LIVES_SQL = "lives AS (SELECT market_id, event, category, min(ts) AS t0, max(ts) AS t1, count(*) AS n, sum(usdc) AS usd, max(won) FILTER (outcome = 'Yes') AS won FROM tape GROUP BY ALL)"
+SPELLS_SQL = f"""spelled AS (SELECT * REPLACE (market_id * 1000 + ts // {90 * DAY} AS market_id) FROM tape),
+spell_lives AS (SELECT market_id, event, min(ts) AS t0, max(ts) AS t1, max(won) FILTER (outcome = 'Yes') AS won FROM spelled GROUP BY market_id, event)"""
 
 
 def as_of(lives: DataFrame, group: str, ties: bool) -> DataFrame:
@@ -43,10 +53,11 @@ def _as_of_sql(op: str) -> str:
 
 
 def brier_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brier score of prices against the base rate of the event's earlier markets (ten at least)."""
-    lives = market_lives(spark, sf_dir)
-    base = as_of(lives, "category", False).filter("before >= 10").select("market_id", (F.col("won_before") / F.col("before")).alias("rate"))
-    t = tape(spark, sf_dir).filter("outcome = 'Yes' AND side = 'BUY'").join(base, "market_id")
+    """Brier score of prices against the base rate of the event's earlier markets (ten at least, settled strictly before).
+    Spells of 90 days stand for markets, as whole lives overlap."""
+    t = spells(tape(spark, sf_dir))
+    base = as_of(lives_of(t), "event", False).filter("before >= 10").select("market_id", (F.col("won_before") / F.col("before")).alias("rate"))
+    t = t.filter("outcome = 'Yes' AND side = 'BUY'").join(base, "market_id")
     own, ref = F.pow(F.col("price") - F.col("won"), 2), F.pow(F.col("rate") - F.col("won"), 2)
     return t.groupBy("category").agg(F.count("*").alias("n"), r6(F.avg(own)).alias("brier"), r6(F.avg(ref)).alias("brier_base"), r6(F.avg(ref - own)).alias("skill"))
 
@@ -193,8 +204,8 @@ SELECT market_id, before, with_ties, CAST(won_before AS BIGINT) AS won_before, C
     ),
     "brier_skill": (
         brier_skill,
-        f"""WITH {TAPE_SQL}, {LIVES_SQL}, c AS (SELECT a.market_id, count(*) AS k, sum(coalesce(b.won, 0)) AS w FROM lives a JOIN lives b ON b.category = a.category AND b.t1 < a.t0 GROUP BY a.market_id HAVING count(*) >= 10)
-SELECT category, count(*) AS n, round(avg(pow(price - won, 2)), 6) AS brier, round(avg(pow(w / k - won, 2)), 6) AS brier_base, round(avg(pow(w / k - won, 2) - pow(price - won, 2)), 6) AS skill FROM tape JOIN c USING (market_id) WHERE outcome = 'Yes' AND side = 'BUY' GROUP BY category""",
+        f"""WITH {TAPE_SQL}, {SPELLS_SQL}, c AS (SELECT a.market_id, count(*) AS k, sum(coalesce(b.won, 0)) AS w FROM spell_lives a JOIN spell_lives b ON b.event = a.event AND b.t1 < a.t0 GROUP BY a.market_id HAVING count(*) >= 10)
+SELECT category, count(*) AS n, round(avg(pow(price - won, 2)), 6) AS brier, round(avg(pow(w / k - won, 2)), 6) AS brier_base, round(avg(pow(w / k - won, 2) - pow(price - won, 2)), 6) AS skill FROM spelled JOIN c USING (market_id) WHERE outcome = 'Yes' AND side = 'BUY' GROUP BY category""",
     ),
     "quantile_bins": (
         quantile_bins,

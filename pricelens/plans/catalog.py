@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import audits, calibration, decode, learning, pipeline, robustness, text, traders, vectors
+from ..operators import audits, calibration, decode, dimensions, learning, pipeline, robustness, text, traders, vectors
 
-MODULES = (calibration, pipeline, traders, learning, text, vectors, audits, decode, robustness)
+MODULES = (calibration, pipeline, traders, learning, text, vectors, audits, decode, robustness, dimensions)
 
 
 def queries() -> dict:
