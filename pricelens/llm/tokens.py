@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from .textkernel import flat
 
 #: Pieces encoded in one string.
-PER_STRING = 2_000
+PER_STRING = 300
 
 
 def tokenizer_path(name: str) -> str:
