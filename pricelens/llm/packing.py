@@ -34,7 +34,7 @@ SIZE, END = 1024, 2
 STEP, MOST = 16, 6
 #: Shares of the fitted repeat counts that are tried.
 SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
-BYTES = 6 << 20
+BYTES = 12 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
