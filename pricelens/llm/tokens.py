@@ -12,6 +12,7 @@ one are encoded whole.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -22,6 +23,8 @@ from .textkernel import flat
 
 #: Pieces encoded in one string.
 PER_STRING = 300
+#: Strings a call; a call's full encodings take many times their ids' memory, so they are held for these only.
+PER_CALL = 32
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,9 +84,14 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, and each text's number of them."""
-        lists = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        return np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum())), sizes
+        parts = list(self._encoded(texts))
+        sizes = np.array([len(x) for x in parts], dtype=np.int64)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), sizes
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for k in range(0, len(texts), PER_CALL):
+            for e in self.t.encode_batch_fast(texts[k : k + PER_CALL], add_special_tokens=False):
+                yield np.array(e.ids, dtype=np.uint32)
 
     def _joined(self, pieces: list[str], head: str) -> tuple[np.ndarray, np.ndarray]:
         """As _whole for pieces after head, many in one string between marks. Those that hold a mark, and empty ones,
@@ -94,8 +102,7 @@ class Encoder:
         strings = [head + (gap + head).join(rest[k : k + PER_STRING]) for k in range(0, len(rest), PER_STRING)]
         parts, sizes = [], np.zeros(len(pieces), dtype=np.int64)
         own = []
-        for e in self.t.encode_batch_fast(strings, add_special_tokens=False):
-            ids = np.array(e.ids, dtype=np.uint32)
+        for ids in self._encoded(strings):
             at = np.flatnonzero(ids == self.mark_id)
             own.append(np.diff(at, prepend=-1, append=len(ids)) - 1)
             parts.append(np.delete(ids, at))
