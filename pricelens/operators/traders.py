@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,10 +191,15 @@ def monthly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def closed_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markets whose last ten trades average near 0 or 1."""
+    """Markets whose last ten trades average near 0 or 1. Prices are added from the latest on, each in its place: an average
+    of exactly 0.6 or 0.4 rounds to either side of the limit by the order of the sum, and a hash aggregate that spills
+    would add parts of it."""
     w = Window.partitionBy("token_id").orderBy(F.desc("ts"), F.desc("usdc"), F.desc("price"))
     last = tape(spark, sf_dir).withColumn("rn", F.row_number().over(w)).filter("rn <= 10")
-    per = last.groupBy("token_id").agg(F.avg("price").alias("p"), F.count("*").alias("n"))
+    places = [F.max(F.when(F.col("rn") == k, F.col("price"))).alias(f"p{k}") for k in range(1, 11)]
+    per = last.groupBy("token_id").agg(F.count("*").alias("n"), F.count("price").alias("priced"), *places)
+    total = reduce(lambda a, k: a + F.coalesce(f"p{k}", F.lit(0.0)), range(1, 11), F.lit(0.0))
+    per = per.select("token_id", "n", safe_div(total, F.col("priced")).alias("p"))
     return per.select("token_id", "n", r6(F.col("p")).alias("p"), F.when(F.col("p") >= 0.6, "up").when(F.col("p") <= 0.4, "down").otherwise("open").alias("state"))
 
 
