@@ -14,9 +14,6 @@ from pricelens.llm import decontaminate, language_id, minhash_dedup, packing, se
 from pricelens.llm.common import table, written
 from pricelens.llm.tokens import tokenizer_path
 
-#: Documents of each language that the floor of the first stage is calibrated on, at most about.
-CALIBRATION = 500
-
 #: Languages that the first stage keeps; None: all that the labelled rows teach.
 WANTED: frozenset[str] | None = None
 
@@ -24,10 +21,10 @@ WANTED: frozenset[str] | None = None
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: frozenset[str] | None = WANTED) -> DataFrame:
     """Drops documents that are no text of a known language: those without letters, and those whose grams no learned
     language makes likely (other languages, strings of letters); with `wanted`, also those predicted to be of a language
-    that isn't in it. Texts in several languages are kept. Learns from the stage's own labelled rows that aren't held out; if there
-    are none, every document with letters stays."""
+    that isn't in it. Texts in several languages are kept. Learns, floor included, from all of the stage's own labelled
+    rows that aren't held out; if there are none, every document with letters stays."""
     known = docs.filter(~language_id.held_out(F.col("doc_id"))).select("text", "lang")
-    model = language_id.calibrated(known, language_id.train(known), CALIBRATION)
+    model = language_id.calibrated(known, language_id.train(known))
     return language_id.select_languages(spark, docs, model, wanted=wanted if model.languages else None)
 
 

@@ -5,8 +5,8 @@ middle (trigram) character is a letter, hashed into BUCKETS cells each. The mode
 by languages, whose size depends on the languages alone; it is broadcast, and whole batches are scored in numpy by sparse
 row sums.
 
-Training uses at most about PER_LANGUAGE documents of each language, whole, taken by a hash of the text over all
-labelled rows.
+Training and calibration read every labelled row, whole. Tasks send sums: of training at most a row for each cell and
+language, of calibration three numbers.
 
 Whether a text is of any learned language at all is another question than of which: its evidence is the mean, over its
 letters, of the largest log probability that some language gives the letter's grams, so texts in several languages don't
@@ -20,6 +20,7 @@ named like an output are replaced, all others pass by. Evidence of a text withou
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cache
@@ -35,7 +36,6 @@ from .packing import slices
 from .textkernel import mix
 
 BUCKETS = 1 << 16
-PER_LANGUAGE = 5_000
 #: Languages that a model may have; the broadcast matrix takes half a megabyte for each.
 MOST = 200
 #: A score is the posterior if the text had as many grams at most, as neighbouring grams aren't independent.
@@ -44,7 +44,8 @@ UNKNOWN = "und"
 #: Letters that a text must have before its evidence can speak against it.
 ENOUGH = 100
 FLOOR = 0.75
-BYTES = 2 << 20
+#: Text of a slice; numpy holds about a hundred times as much while it counts one.
+BYTES = 256 << 10
 
 
 @cache
@@ -132,6 +133,14 @@ class Model:
         return [self.languages[b] if f else UNKNOWN for b, f in zip(best, full, strict=True)], np.where(full, score, 0.0)
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers are reused, and keep what an encoder before them has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _known(df: DataFrame) -> DataFrame:
     return df.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
@@ -144,28 +153,25 @@ def _sizes(known: DataFrame, most: int = MOST) -> dict[str, int]:
     return {r["lang"]: r["n"] for r in rows}
 
 
-def _drawn(known: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+def _drawn(known: DataFrame, per_language: int) -> DataFrame:
+    sizes = _sizes(known)
+    if not sizes:
+        return known
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))])
     draw = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
     return known.filter(draw < F.element_at(share, F.col("lang")))
 
 
-def _picked(df: DataFrame, per_language: int) -> DataFrame | None:
-    known = _known(df)
-    sizes = _sizes(known)
-    return _drawn(known, sizes, per_language) if sizes else None
-
-
-def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """The model of the labelled rows of (text, lang). Counts are summed by Spark; the driver gets the summed cells,
+def train(df: DataFrame) -> Model:
+    """The model of all labelled rows of (text, lang). Counts are summed by Spark; the driver gets the summed cells,
     2 * BUCKETS a language at most."""
     known = _known(df)
     sizes = _sizes(known)
     if not sizes:
         return Model((), np.zeros((2 * BUCKETS, 0), np.float32), np.zeros(0))
-    picked = _drawn(known, sizes, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lo, hi in slices(b.column(0), BYTES):
@@ -174,12 +180,14 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
                 of = np.array(b.column(1).slice(lo, hi - lo).to_pylist(), dtype=object)
                 for lang in set(of):
                     own = cells[(of == lang)[row]].reshape(-1)
-                    sums[lang] = sums.get(lang, 0) + np.bincount(own, minlength=2 * BUCKETS)
+                    if lang not in sums:
+                        sums[lang] = np.zeros(2 * BUCKETS, dtype=np.int64)
+                    sums[lang] += np.bincount(own, minlength=2 * BUCKETS)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "cell", "n"])
 
-    cells = picked.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = known.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     languages = tuple(sorted(sizes))
     counts = np.zeros((2 * BUCKETS, len(languages)))
     at = {k: j for j, k in enumerate(languages)}
@@ -193,14 +201,15 @@ def train(df: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(languages, log.astype(np.float32), np.log(n / n.sum()))
 
 
-def calibrated(df: DataFrame, model: Model, per_language: int = PER_LANGUAGE) -> Model:
-    """The model with the floor that the labelled rows of (text, lang) give it, of which at most about per_language of
-    each language are read; the driver gets sums only."""
+def calibrated(df: DataFrame, model: Model, per_language: int | None = None) -> Model:
+    """The model with the floor that all labelled rows of (text, lang) give it, or about per_language of each language if
+    that is set; the driver gets sums only."""
     if not model.languages:
         return model
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         sums = np.zeros(3)
         for b in batches:
             for lo, hi in slices(b.column(0), BYTES):
@@ -210,9 +219,8 @@ def calibrated(df: DataFrame, model: Model, per_language: int = PER_LANGUAGE) ->
                 sums += (len(real), shared.value.evidence(real).sum(dtype=np.float64), shared.value.evidence(mixed).sum(dtype=np.float64))
         yield pa.RecordBatch.from_pydict({"n": [sums[0]], "real": [sums[1]], "mixed": [sums[2]]})
 
-    picked = _picked(df, per_language)
-    if picked is None:
-        return model
+    known = _known(df)
+    picked = known if per_language is None else _drawn(known, per_language)
     r = picked.mapInArrow(add, "n double, real double, mixed double").agg(F.sum("n").alias("n"), F.sum("real").alias("real"), F.sum("mixed").alias("mixed")).first()
     return replace(model, floor=((1 - FLOOR) * r["real"] + FLOOR * r["mixed"]) / r["n"]) if r["n"] else model
 

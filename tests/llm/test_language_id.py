@@ -89,3 +89,18 @@ def test_recognised(spark):
     odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)), "Привет как дела сегодня " * 20, "日本語の文章" * 40, "12 !!", None]
     mean, ok = model.recognised([*odd, "short"])
     assert ok.tolist() == [False] * 5 + [True] and np.isnan(mean[3]) and np.isnan(mean[4])
+
+
+def test_learns_from_every_labelled_row(spark):
+    """Counts of 6,000 rows of a language and a floor of 7,500 rows are those of all of them."""
+    rows = [(" ".join(f"{w}{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for w in ("ka", "lo", "mi")), "x") for k in range(6_000)] + [(f"ze{chr(97 + k % 26)} un{chr(97 + k // 26 % 26)}", "y") for k in range(1_500)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    model = L.train(df)
+    for j, lang in enumerate(("x", "y")):
+        cells, _ = L.grams([t for t, own in rows if own == lang])
+        counts = np.bincount(cells.reshape(-1), minlength=2 * L.BUCKETS) + 0.5
+        want = np.concatenate([np.log(c / c.sum()) for c in (counts[: L.BUCKETS], counts[L.BUCKETS :])])
+        assert np.allclose(model.log[:, j], want, atol=1e-5)
+    texts = [t for t, _ in rows]
+    real, mixed = (model.evidence(f(texts)[0]).mean(dtype=np.float64) for f in (L.grams, L.shuffled))
+    assert abs(L.calibrated(df, model).floor - ((1 - L.FLOOR) * real + L.FLOOR * mixed)) < 1e-2

@@ -43,3 +43,20 @@ def test_language_stage_without_labels(spark, sf):
     docs = spark.createDataFrame([(1, "two english rows", None), (2, "without a label", None), (3, "...", None)], "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in C.languages(spark, docs, sf).collect()} == {1, 2}
     assert C.languages(spark, docs.limit(0), sf).count() == 0
+
+
+def test_language_stage_learns_from_every_labelled_row(spark, sf, monkeypatch):
+    """The stage's model and floor are those of all 3,000 labelled rows that aren't held out."""
+    one = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    docs = one.selectExpr("explode(sequence(0, 39)) k", "*").selectExpr("doc_id + 1000000 * k doc_id", "substr(text, 1 + 20 * k, 60 + 10 * k) text", "lang").coalesce(1)
+    own = [r for r in docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(~C.language_id.held_out(docs.doc_id)).collect()]
+    assert len(own) > 3_000 and max(sum(r["lang"] == k for r in own) for k in {r["lang"] for r in own}) > 1_000
+    seen = []
+    keep = C.language_id.select_languages
+    monkeypatch.setattr(C.language_id, "select_languages", lambda s, d, model, **k: seen.append(model) or keep(s, d, model, **k))
+    C.languages(spark, docs, sf)
+    (model,) = seen
+    texts = [r["text"] for r in own]
+    real, mixed = (model.evidence(f(texts)[0]).mean(dtype="float64") for f in (C.language_id.grams, C.language_id.shuffled))
+    want = (1 - C.language_id.FLOOR) * real + C.language_id.FLOOR * mixed
+    assert abs(model.floor - want) < 0.02  # letters are dealt anew within slices
