@@ -20,7 +20,6 @@ named like an output are replaced, all others pass by. Evidence of a text withou
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cache
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import release, table
 from .packing import slices
 from .textkernel import mix
 
@@ -133,14 +132,6 @@ class Model:
         return [self.languages[b] if f else UNKNOWN for b, f in zip(best, full, strict=True)], np.where(full, score, 0.0)
 
 
-def _release() -> None:
-    """Gives freed memory back to the system: workers are reused, and keep what an encoder before them has freed."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def _known(df: DataFrame) -> DataFrame:
     return df.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
@@ -171,7 +162,7 @@ def train(df: DataFrame) -> Model:
         return Model((), np.zeros((2 * BUCKETS, 0), np.float32), np.zeros(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _release()
+        release()
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lo, hi in slices(b.column(0), BYTES):
@@ -209,7 +200,7 @@ def calibrated(df: DataFrame, model: Model, per_language: int | None = None) ->
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _release()
+        release()
         sums = np.zeros(3)
         for b in batches:
             for lo, hi in slices(b.column(0), BYTES):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, release, written
 from .textkernel import flat
 from .tokens import encoder, tokenizer_path
 
@@ -34,7 +34,8 @@ SIZE, END = 1024, 2
 STEP, MOST = 16, 6
 #: Shares of the fitted repeat counts that are tried.
 SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
-BYTES = 12 << 20
+#: Text of a slice. A worker holds about 30 times as much while it encodes one, beside other stages' workers.
+BYTES = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -53,26 +54,32 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     """A row for each piece of each document. Pieces of a longer document have `size` ids, but for the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         e, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+
+        def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+            ids, bounds = e.encode(b.column(1))
+            tail = np.array([end], dtype="<u4")
+            out: list[list] = [[] for _ in range(7)]
+            for k, doc in enumerate(b.column(0).to_pylist()):
+                own = np.concatenate([ids[bounds[k] : bounds[k + 1]], tail]).astype("<u4", copy=False)
+                n, at = len(own), 0
+                first = (n - 1) % size + 1
+                for j in range((n - first) // size + 1):
+                    stop = first + j * size
+                    m = stop - at
+                    for column, v in zip(out, (doc, j, at, m, zlib.crc32(own[at:stop]), part, int(seen[m])), strict=True):
+                        column.append(v)
+                    seen[m] += 1
+                    at = stop
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+
         for b in batches:
             for lo, hi in slices(b.column(1)):
-                ids, bounds = e.encode(b.column(1).slice(lo, hi - lo))
-                docs = b.column(0).slice(lo, hi - lo).to_pylist()
-                tail = np.array([end], dtype="<u4")
-                out: list[list] = [[] for _ in range(7)]
-                for k, doc in enumerate(docs):
-                    own = np.concatenate([ids[bounds[k] : bounds[k + 1]], tail]).astype("<u4", copy=False)
-                    n, at = len(own), 0
-                    first = (n - 1) % size + 1
-                    for j in range((n - first) // size + 1):
-                        stop = first + j * size
-                        m = stop - at
-                        for column, v in zip(out, (doc, j, at, m, zlib.crc32(own[at:stop]), part, int(seen[m])), strict=True):
-                            column.append(v)
-                        seen[m] += 1
-                        at = stop
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+                made = cut(b.slice(lo, hi - lo))
+                release()
+                yield made
 
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

@@ -32,6 +32,8 @@ from .tokens import encoder, tokenizer_path
 
 END, MAGIC = 2, 0x544F4B31
 NONE = -(1 << 63)
+#: Text of a slice; words repeat more in larger ones.
+BYTES = 12 << 20
 
 
 def _open(folder: str) -> tuple[pfs.FileSystem, str]:
@@ -51,7 +53,7 @@ def write_parts(df: DataFrame, folder: str, path: str, end: int = END, parts: in
         name, ids_of, sizes, out = uuid.uuid4().hex, [], [], None
         fs, root = _open(folder)
         for b in batches:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), BYTES):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     out = fs.open_output_stream(f"{root}/{name}.ids")

@@ -49,8 +49,10 @@ def _odd_space(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         wide |= (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & (b == 0x81) | (a == 0xE3) & (b == 0x80)
         wide |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
         bad[lead[wide]] = True
-    sums = np.concatenate([[0], np.cumsum(bad)])
-    return sums[offsets[1:]] > sums[offsets[:-1]]
+    odd, full = np.zeros(len(offsets) - 1, dtype=bool), offsets[1:] > offsets[:-1]
+    if full.any():
+        odd[full] = np.logical_or.reduceat(bad, offsets[:-1][full])
+    return odd
 
 
 #: A letter that every version of Unicode knows as one, also in lower case (so not U+0130), and a comma or full stop.

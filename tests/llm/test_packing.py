@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,3 +98,43 @@ def test_fitted_plan_no_worse_than_best_fit_alone():
         assert own <= alone
         fewer += own < alone
     assert fewer
+
+
+#: The task of packing.pieces() over two batches of 16 MB; prints its rows and the MB that it adds at most.
+_TASK = """
+import random, re
+from unittest import mock
+import pyarrow as pa
+from pricelens.llm import packing as P
+from pricelens.llm.tokens import encoder, tokenizer_path
+
+def mb(k):
+    return int(re.search(rf"{k}:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Frame:
+    def select(self, *columns):
+        return self
+    def mapInArrow(self, run, schema):
+        return run
+
+P.F, P.TaskContext = mock.MagicMock(), mock.MagicMock()
+P.TaskContext.get.return_value.partitionId.return_value = 0
+run, rng = P.pieces(Frame(), tokenizer_path("byte_bpe_50k.json")), random.Random(3)
+words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(40_000)]
+texts = [" ".join(rng.choices(words, k=500)) for _ in range(2 * (16 << 20) // 3_300)]
+half = len(texts) // 2
+batches = [pa.record_batch([pa.array(range(half)), pa.array(x)], ["doc_id", "text"]) for x in (texts[:half], texts[half:])]
+rows = sum(map(len, run(iter([batches[0].slice(0, 9)]))))
+del texts
+open("/proc/self/clear_refs", "w").write("5")
+peak = mb("VmHWM")
+rows += sum(map(len, run(iter(batches))))
+print(rows, mb("VmHWM") - peak)
+"""
+
+
+def test_task_holds_little_memory():
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", _TASK], cwd=here, capture_output=True, text=True, timeout=300, check=True)
+    rows, peak = map(float, said.stdout.split())
+    assert rows > 9_000 and peak < 150, said.stdout
