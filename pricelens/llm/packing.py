@@ -36,6 +36,8 @@ STEP, MOST = 16, 6
 SHARES = (1.0, 0.75, 0.5, 0.25, 0.0)
 #: Text of a slice. A worker holds about 30 times as much while it encodes one, beside other stages' workers.
 BYTES = 4 << 20
+#: Bytes of words and ids that a worker keeps from slice to slice and task to task, as most words come again.
+KEEP = 24 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -55,7 +57,7 @@ def pieces(df: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        e, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
+        e, part, seen = encoder(path, KEEP), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
 
         def cut(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, bounds = e.encode(b.column(1))

@@ -26,3 +26,22 @@ def test_same_ids_as_whole_texts(name, per_string, monkeypatch):
         ids, bounds = e.encode(pa.array(part, pa.string()))
         for k, t in enumerate(part):
             assert ids[bounds[k] : bounds[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_kept_pieces_give_the_same_ids_and_are_not_encoded_again():
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain, keeping = Encoder(path), Encoder(path, 20_000)
+    asked = []
+    joined = keeping._joined
+    keeping._joined = lambda pieces, head: (asked.append(len(pieces)), joined(pieces, head))[1]
+    small = [f"word{k} {'y' * (k % 5 + 1)} Thé,\nline{k}. x{k}" for k in range(40)]
+    large = [f"other{k} plain{k}, {k}" for k in range(2_000)]  # more than may be kept
+    for texts in (small, small, ["", None, "\n"], large, small, [*small, "word1 brandnew"]):
+        column, before = pa.array(texts, pa.string()), len(asked)
+        ids, bounds = keeping.encode(column)
+        expected, places = plain.encode(column)
+        assert ids.tolist() == expected.tolist() and bounds.tolist() == places.tolist()
+        assert sum(x.nbytes for held in keeping.kept.values() for x in held) <= 20_000
+        asked[before:] = [asked[before:]]
+    # A call asks for pieces after a space, lines and row starts; only row starts are encoded each time.
+    assert [asked[0], asked[1], asked[5]] == [[86, 40, 40], [0, 0, 40], [1, 0, 41]]
