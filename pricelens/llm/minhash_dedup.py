@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, release, written
 from .components import components
 from .textkernel import Chunk, chunks, mix, odd
 
@@ -102,24 +102,28 @@ def signatures(df: DataFrame, shingle: int) -> DataFrame:
     """One row per row of (doc_id, text); c1 and c2 are the set's digest, null for an empty set; text_hash tells rows of one
     id apart."""
 
+    def made(b: pa.RecordBatch, c: Chunk) -> pa.RecordBatch:
+        values, bounds = shingle_sets(c, shingle)
+        sizes = np.diff(bounds)
+        full = sizes > 0
+        starts = np.append(bounds[:-1][full], bounds[-1])
+        m = minima(values, starts) if full.any() else np.empty((0, K), np.uint32)
+        digest = []
+        for salt in (11, 12):
+            v = np.zeros(len(sizes), dtype=U64)
+            if full.any():
+                v[full] = np.add.reduceat(mix(values + U64(odd(salt))), starts[:-1])
+            digest.append(pa.array(mix(v + sizes.astype(U64)).view(np.int64), mask=~full))
+        return pa.RecordBatch.from_arrays(
+            [*(b.column(k).slice(c.first, c.last - c.first) for k in (0, 1)), pa.array(sizes), *digest, _lists(_packed(m), full), _lists(_bands(m), full)],
+            names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig", "bands"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
-            for c in chunks(b.column(2)):
-                values, bounds = shingle_sets(c, shingle)
-                sizes = np.diff(bounds)
-                full = sizes > 0
-                starts = np.append(bounds[:-1][full], bounds[-1])
-                m = minima(values, starts) if full.any() else np.empty((0, K), np.uint32)
-                digest = []
-                for salt in (11, 12):
-                    v = np.zeros(len(sizes), dtype=U64)
-                    if full.any():
-                        v[full] = np.add.reduceat(mix(values + U64(odd(salt))), starts[:-1])
-                    digest.append(pa.array(mix(v + sizes.astype(U64)).view(np.int64), mask=~full))
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).slice(c.first, c.last - c.first) for k in (0, 1)), pa.array(sizes), *digest, _lists(_packed(m), full), _lists(_bands(m), full)],
-                    names=["doc_id", "text_hash", "n_shingles", "c1", "c2", "sig", "bands"],
-                )
+            yield from (made(b, c) for c in chunks(b.column(2)))
+            release()
 
     return _rows(df).mapInArrow(run, SIGNATURES)
 

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 from itertools import combinations
 
 import numpy as np
@@ -103,3 +106,36 @@ def test_ids_with_several_texts(spark):
 
 def test_empty_table(spark):
     assert run(spark, [], 2) == {}
+
+
+#: The task of signatures() over a batch of 16 MB; prints its rows and the MB that it still holds when it is done.
+_TASK = """
+import random, re
+import pyarrow as pa
+from unittest import mock
+from pricelens.llm import minhash_dedup as M
+
+def mb():
+    return int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Frame:
+    def mapInArrow(self, run, schema):
+        return run
+
+M._rows = lambda df: Frame()
+run, rng = M.signatures(None, 5), random.Random(3)
+words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(40_000)]
+texts = [" ".join(rng.choices(words, k=300)) for _ in range((16 << 20) // 2_000)]
+batch = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text_hash", "text"])
+rows = sum(map(len, run(iter([batch.slice(0, 9)]))))
+before = mb()
+rows += sum(map(len, run(iter([batch]))))
+print(rows, mb() - before)
+"""
+
+
+def test_task_gives_memory_back():
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", _TASK], cwd=here, capture_output=True, text=True, timeout=300, check=True)
+    rows, held = map(float, said.stdout.split())
+    assert rows > 8_000 and held < 30, said.stdout
