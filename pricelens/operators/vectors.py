@@ -16,6 +16,8 @@ from ..sources.tape import read, tape
 BLOCK, K, TAU = 2048, 25, 0.25
 #: Reference rows of the mutual proximity, and rows that it scores at once.
 REFERENCE, PART = 2048, 512
+#: Rows that linked_groups holds all rows against first, and numbers in a part of the rest.
+SEEDS, PART_NUMBERS = 2048, 1 << 21
 
 
 def backward_neighbours(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -247,23 +249,125 @@ def mutual_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescaled_neighbours(spark, v, q).groupBy("q").agg(F.count("*").alias("neighbours"), r6(F.avg("mp")).alias("mean_mp"), r6(F.max("mp")).alias("max_mp"))
 
 
-def linked_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected components of all links of near rows, every row a query in its block: each row's smallest row reached, and the
-    component's size. Labels spread until they stand still; each round is a reliable checkpoint."""
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y, of rows of length 1, whose rounded similarity is `least` or more."""
+    sim = x @ y.T
+    i, j = np.nonzero(sim >= least - 1e-8)
+    ok = np.round(sim[i, j], 9) >= least
+    return i[ok], j[ok]
+
+
+def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the classes of each a and b; parent holds every place's root, its class's smallest place."""
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
+def _by_seed(vectors: DataFrame, seeds: np.ndarray, least: float) -> DataFrame:
+    """(id, seed, null): each row and the first seed that it is near, if any. (null, seed, root): seeds that a task's rows join."""
+    shared = vectors.sparkSession.sparkContext.broadcast(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, names = shared.value, ["id", "seed", "root"]
+        parent = np.arange(len(m))
+        for b in batches:
+            for lo in range(0, len(b), PART):
+                part = b.slice(lo, PART)
+                x, y = _near(_unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)), m, least)
+                first = np.full(len(part), -1)
+                first[x[::-1]] = y[::-1]
+                _merge(parent, y, first[x])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(first, pa.int32(), mask=first < 0), pa.nulls(len(part), pa.int32())], names=names)
+        joined = np.flatnonzero(parent != np.arange(len(m)))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(joined), pa.int64()), pa.array(joined, pa.int32()), pa.array(parent[joined], pa.int32())], names=names)
+
+    return vectors.mapInArrow(run, "id long, seed int, root int")
+
+
+def _cell_links(table: pa.Table, least: float) -> pa.Table:
+    """(a, b): a forest of the classes that links between the two sides of a cell join. Rows of one class aren't compared."""
+    second = table["second"].to_numpy().astype(bool)
+    v = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+    names, of = np.unique(table["klass"].to_numpy(), return_inverse=True)
+    left, right, parent = np.flatnonzero(~second), np.flatnonzero(second), np.arange(len(names))
+    v = _unit(v)
+    for i in range(0, len(left), PART):
+        for j in range(0, len(right), 4 * PART):
+            x, y = left[i : i + PART], right[j : j + 4 * PART]
+            p, q = parent[of[x]], parent[of[y]]
+            if (p == p[0]).all():
+                y = y[q != p[0]]
+            elif (q == q[0]).all():
+                x = x[p != q[0]]
+            if len(x) and len(y):
+                a, b = _near(v[x], v[y], least)
+                _merge(parent, of[x[a]], of[y[b]])
+    joined = np.flatnonzero(parent != np.arange(len(names)))
+    return pa.table({"a": names[joined], "b": names[parent[joined]]})
+
+
+def _rest_links(vectors: DataFrame, classes: DataFrame, main: int, dim: int, rest: int, others: int, least: float) -> DataFrame:
+    """(a, b): classes joined by links that have an end outside the class `main`. The `rest` rows outside it and the `others` in
+    it are dealt into parts of a fixed size; each pair of parts with one outside is a cell, which one task holds at a time."""
+    size = max(1, PART_NUMBERS // max(dim, 1))
+    mine, all_parts = -(-rest // size), -(-rest // size) - (-others // size)
+    known = vectors.join(classes, "id").select("vector", "klass", F.xxhash64("id").alias("hash"))
+    out = known.filter(F.col("klass") != main).withColumn("part", F.pmod("hash", F.lit(mine)))
+    within = known.filter(F.col("klass") == main).withColumn("part", mine + F.pmod("hash", F.lit(all_parts - mine)))
+    at = lambda i, j: (F.lit(i) if isinstance(i, int) else i) * all_parts + j
+    side = lambda df, cells, second: df.select("vector", "klass", F.lit(second).alias("second"), F.explode(cells).alias("cell"))
+    span = lambda a, b: F.sequence(F.lit(a).cast("long") if isinstance(a, int) else a, F.lit(b).cast("long") if isinstance(b, int) else b)
+    firsts = F.transform(F.concat(span(0, F.col("part")), span(mine, all_parts - 1)), lambda j: at(F.col("part"), j))
+    cells = side(out, firsts, False).union(side(out, F.transform(span(F.col("part"), mine - 1), lambda i: at(i, F.col("part"))), True))
+    cells = cells.union(side(within, F.transform(span(0, mine - 1), lambda i: at(i, F.col("part"))), True))
+    n = min(mine * (mine + 1) // 2 + mine * (all_parts - mine), 4096)
+    return cells.repartition(n, "cell").groupBy("cell").applyInArrow(lambda t: _cell_links(t, least), "a long, b long")
+
+
+def linked_groups(spark: SparkSession, sf_dir: str, least: float = TAU) -> DataFrame:
+    """Connected components of all links of near rows: each row's smallest row reached, and the component's size. All rows are
+    held against SEEDS rows first, which gives classes; then every row outside the largest class against all rows of other
+    classes, so no link that could join two classes is left out. Classes take the smallest label among themselves and their
+    neighbours', then the label of that label, until they stand still; each round is a reliable checkpoint. The driver holds
+    the seeds and pairs of them."""
     from ..sources.io import reliable
 
     v, _ = _vectors(spark, sf_dir)
-    near = near_links(spark, v, v).select(F.col("q").alias("a"), F.col("id").alias("b"))
-    both = reliable(spark, near.union(near.select("b", "a")).distinct())
-    labels = reliable(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("label").alias("heard"))
-        after = reliable(spark, labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label")))
-        labels = after.select("node", "label")
-        if not after.filter("old <> label").limit(1).count():
-            break
-    out = v.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
-    return out.join(out.groupBy("component").agg(F.count("*").alias("size")), "component").select("id", "component", "size")
+    full = v.filter("id IS NOT NULL AND vector IS NOT NULL")
+    seeds = full.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, full.count() // SEEDS))) == 0).limit(SEEDS).collect()
+    seeds = seeds or full.limit(SEEDS).collect()
+    rows = v.select("id", F.col("id").alias("klass"))
+    if seeds:
+        held = reliable(spark, _by_seed(full, _unit(np.array([r["vector"] for r in seeds], dtype=np.float64)), least))
+        pairs = np.array([tuple(r) for r in held.filter("root IS NOT NULL").select("seed", "root").distinct().collect()], dtype=np.int64).reshape(-1, 2)
+        root = np.arange(len(seeds))
+        _merge(root, pairs[:, 0], pairs[:, 1])
+        of = spark.createDataFrame([(k, seeds[r]["id"]) for k, r in enumerate(root.tolist())], "seed int, klass long")
+        rows = held.filter("root IS NULL").join(F.broadcast(of), "seed", "left").select("id", F.coalesce("klass", "id").alias("klass"))
+        main, others = rows.groupBy("klass").count().orderBy(F.desc("count"), "klass").first()
+        rest = rows.count() - others
+        links = rows.groupBy("id").agg(F.collect_set("klass").alias("k")).filter("size(k) > 1").select(F.col("k")[0].alias("a"), F.explode("k").alias("b"))
+        if rest:
+            links = links.union(_rest_links(full, rows.distinct(), main, len(seeds[0]["vector"]), rest, others, least))
+        both = reliable(spark, links.union(links.select("b", "a")).distinct())
+        labels = reliable(spark, both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+        while True:
+            heard = both.join(labels, both["b"] == labels["node"]).groupBy(both["a"].alias("node")).agg(F.min("label").alias("heard"))
+            near = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("near"))
+            after = near.join(labels.select(F.col("node").alias("near"), F.col("label").alias("far")), "near")
+            after = reliable(spark, after.select("node", "old", F.least("near", "far").alias("label")))
+            labels = after.select("node", "label")
+            if not after.filter("old <> label").limit(1).count():
+                break
+        rows = rows.join(labels.withColumnRenamed("node", "klass"), "klass", "left").select("id", F.coalesce("label", "klass").alias("klass"))
+        rows = rows.union(v.filter("id IS NULL OR vector IS NULL").select("id", F.col("id").alias("klass")))
+    per = rows.groupBy(F.col("klass").alias("k")).agg(F.min("id").alias("component"), F.count("*").alias("size"))
+    return rows.join(per, F.col("klass").eqNullSafe(F.col("k"))).select("id", "component", "size")
 
 
 QUERIES = {

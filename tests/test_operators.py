@@ -171,3 +171,36 @@ def test_near_links_like_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(a, b) for a in range(90) for b in range(a) if round(float(u[a] @ u[b]), 9) >= 0.5}
     assert {(r["q"], r["id"]) for r in vectors.near_links(spark, df, df, 0.5, block=17).collect()} == want
+
+
+def test_linked_groups_like_brute_force(spark, tmp_path, monkeypatch):
+    """Groups, chains and rows alone, in many cells; no row is fetched by the driver but the seeds."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(8)
+    base = np.vstack([np.eye(24)[k] + 0.02 * rng.normal(size=(9, 24)) for k in range(10)] + [np.eye(24)[10 + k // 3] + np.eye(24)[(10 + (k + 2) // 3)] for k in range(25)] + [np.eye(24)[21:23]])
+    x = base[rng.permutation(len(base))].astype(np.float32)
+    rows = [(3 * k, [float(c) for c in v], 0) for k, v in enumerate(x)] + [(1000, None, 0)]
+    rows.append((0, [0.0] * 23 + [1.0], 0))  # a second row of id 0, and what is near that
+    rows.append((1001, [0.0] * 23 + [2.0], 0))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    label = {r[0]: r[0] for r in rows}
+    u = [(r[0], np.array(r[1], dtype=float) / np.linalg.norm(r[1])) for r in rows if r[1]]
+    links = [(a, b) for a, p in u for b, q in u if b < a and round(float(p @ q), 9) >= vectors.TAU]
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    size = {k: sum(label[r[0]] == k for r in rows) for k in set(label.values())}
+    assert len(size) > 10
+    want = sorted((r[0], label[r[0]], size[label[r[0]]]) for r in rows)
+    fetched = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda self, *a, **b: fetched.append(len(rows)) or iter(collect(self)))
+    monkeypatch.setattr(DataFrame, "collect", lambda self: fetched.append(len(out := collect(self))) or out)
+    for seeds, numbers in ((3, 24 * 7), (200, 1 << 21), (1, 24 * 50)):
+        monkeypatch.setattr(vectors, "SEEDS", seeds, raising=False)
+        monkeypatch.setattr(vectors, "PART_NUMBERS", numbers, raising=False)
+        out = vectors.linked_groups(spark, str(tmp_path))
+        assert seeds == 200 or max(fetched) <= 3
+        assert sorted(map(tuple, collect(out))) == want
+        fetched.clear()
