@@ -44,9 +44,9 @@ def stars(t: Column) -> Column:
     return F.when(a >= 3.29, "***").when(a >= 2.58, "**").when(a >= 1.96, "*").otherwise("")
 
 
-def lifecycle(token: str = "token_id", ts: str = "ts") -> Column:
+def lifecycle(*token: str, ts: str = "ts") -> Column:
     """Place of a trade in its token's life, 0 to 1; a life counts one second at least."""
-    w = Window.partitionBy(token)
+    w = Window.partitionBy(*(token or ("token_id",)))
     first, last = F.min(ts).over(w), F.max(ts).over(w)
     return (F.col(ts) - first) / F.greatest(last - first, F.lit(1))
 

@@ -201,9 +201,10 @@ def flb_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- sliced deciles ----
 
 
-def filtered(spark: SparkSession, sf_dir: str, window: tuple[float, float] = MATURE) -> DataFrame:
-    """Standard filters: BUY, life before the price filter, 0.01 < price < 0.99, place in the window."""
-    df = tape(spark, sf_dir).filter("side = 'BUY'").withColumn("pos", lifecycle())
+def filtered(spark: SparkSession, sf_dir: str, window: tuple[float, float] = MATURE, token: tuple[str, ...] = ("token_id",)) -> DataFrame:
+    """Standard filters: BUY, life before the price filter, 0.01 < price < 0.99, place in the window. token: columns that name
+    a token; with its market first, rows that are dealt out by market stay where they are."""
+    df = tape(spark, sf_dir).filter("side = 'BUY'").withColumn("pos", lifecycle(*token))
     df = df.filter((F.col("price") > 0.01) & (F.col("price") < 0.99) & F.col("pos").between(*window))
     return df.withColumns({"decile": decile(F.col("price")), "day": F.floor(F.col("ts") / DAY).cast("int")})
 
