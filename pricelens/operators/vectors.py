@@ -292,10 +292,9 @@ def _by_seed(vectors: DataFrame, seeds: np.ndarray, least: float) -> DataFrame:
 def _cell_links(table: pa.Table, least: float) -> pa.Table:
     """(a, b): a forest of the classes that links between the two sides of a cell join. Rows of one class aren't compared."""
     second = table["second"].to_numpy().astype(bool)
-    v = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+    v = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
     names, of = np.unique(table["klass"].to_numpy(), return_inverse=True)
     left, right, parent = np.flatnonzero(~second), np.flatnonzero(second), np.arange(len(names))
-    v = _unit(v)
     for i in range(0, len(left), PART):
         for j in range(0, len(right), 4 * PART):
             x, y = left[i : i + PART], right[j : j + 4 * PART]
@@ -305,7 +304,7 @@ def _cell_links(table: pa.Table, least: float) -> pa.Table:
             elif (q == q[0]).all():
                 x = x[p != q[0]]
             if len(x) and len(y):
-                a, b = _near(v[x], v[y], least)
+                a, b = _near(_unit(v[x].astype(np.float64)), _unit(v[y].astype(np.float64)), least)
                 _merge(parent, of[x[a]], of[y[b]])
     joined = np.flatnonzero(parent != np.arange(len(names)))
     return pa.table({"a": names[joined], "b": names[parent[joined]]})
